@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encoding, packing, splitting
+from . import encoding, neardup, packing, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, folder, "chunks"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.pairs_of(p1_groups(spark, folder))
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
@@ -29,6 +37,8 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p6_ids": p6_ids,
