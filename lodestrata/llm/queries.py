@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encoding, neardup, packing, splitting
+from . import encoding, neardup, packing, secrets, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized_ids(p3_pieces(spark, folder))
 
 
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "chunks"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_lines(p5_redacted(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_texts(table(spark, folder, "documents"))
 
@@ -41,6 +49,8 @@ QUERIES: dict[str, Query] = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
 }
