@@ -57,9 +57,13 @@ def piece_pattern(max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> str:
 
 
 def line_count(text: Column) -> Column:
-    """Lines of a text: its line ends, and one more if text follows the last of them."""
-    ends = F.regexp_count(text, F.lit(r"\r\n|\n|\r"))
-    return (ends + F.when(text.rlike(r"[^\n\r]\z"), 1).otherwise(0)).cast("int")
+    """Lines of a text: its line ends (\\n, \\r\\n or \\r), and one more if text follows the last of them."""
+
+    def count(end: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(end), F.lit("")))
+
+    ends = count("\n") + count("\r") - F.floor(count("\r\n") / 2)
+    return (ends + F.when((text != "") & ~F.right(text, F.lit(1)).isin("\n", "\r"), 1).otherwise(0)).cast("int")
 
 
 def is_oversized(text: Column, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> Column:
@@ -71,7 +75,7 @@ def _fold(text: Column, max_lines: int, max_chars: int, overlap: int) -> Column:
     within = piece_pattern(max_lines, overlap)
     closing = rest_pattern(max_lines) + "|" + within
     total = F.length(text)
-    tail = rf"{_LINE}{{0,{overlap}}}\z"
+    each_line = F.lit(_LINE)
 
     def bind(value: Column, then: Callable[[Column], Column]) -> Column:
         """then(value) with value computed once: a one-element transform, as lambdas have no common subexpressions."""
@@ -84,7 +88,11 @@ def _fold(text: Column, max_lines: int, max_chars: int, overlap: int) -> Column:
         ahead = F.length(F.regexp_extract(F.substr(text, stop, F.lit(max_chars)), rf"\A(?:{_LINE}|[^\n\r]*+)", 0))
 
         def share(room: Column) -> Column:
-            return bind(F.regexp_extract(F.substr(piece, size - room + 1), tail, 0), lambda shared: keep(shared))
+            lines = F.regexp_extract_all(F.substr(piece, size - room + 1), each_line, F.lit(0))
+            return bind(lines, lambda all_lines: bind(last(all_lines), keep))
+
+        def last(all_lines: Column) -> Column:
+            return F.array_join(F.slice(all_lines, F.greatest(F.size(all_lines) - overlap + 1, F.lit(1)), F.lit(max(overlap, 1))), "")
 
         def keep(shared: Column) -> Column:
             # the room may begin inside a line: only whole lines are shared, and never the whole piece
@@ -128,11 +136,12 @@ def split_oversized(
     large = rows.where(over).dropDuplicates(["id", "content"])
     small = rows.where(~F.coalesce(over, F.lit(False))).dropDuplicates(["id", "content"])
     cut = large.withColumn("found", _fold(text, max_lines, max_chars, overlap)).select(
-        "id", "first_line", "content", F.size("found").alias("pieces"), F.posexplode("found").alias("pos", "part")
+        "id", "first_line", "content", F.size("found").alias("pieces"), F.posexplode_outer("found").alias("pos", "part")
     )
     body = F.substr(text, F.col("part.at"), F.col("part.size"))
+    # a piece starts after a line end, or inside a line that has one piece before it
     before = F.substr(text, F.lit(1), F.col("part.at") - 1)
-    ends_before = F.regexp_count(before, F.lit(r"\r\n|\n|\r"))
+    ends_before = line_count(F.concat(before, F.lit("x"))) - 1
     cut = cut.select(
         "id",
         (F.col("pos") + 1).cast("int").alias("piece"),
@@ -150,5 +159,5 @@ def split_oversized(
 
 
 def oversized_ids(pieces: DataFrame) -> DataFrame:
-    """Ids that the splitter had to cut."""
-    return pieces.where((F.col("pieces") > 1) & (F.col("piece") == 1)).select("id").distinct()
+    """Ids that the splitter had to cut: those with a second piece."""
+    return pieces.where("piece = 2").select("id").distinct()
