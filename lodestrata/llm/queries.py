@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encoding, neardup, packing, secrets, splitting
+from . import encoding, neardup, packing, provenance, secrets, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized_ids(p3_pieces(spark, folder))
 
 
+def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance.label_files(table(spark, folder, "files"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance.not_hand_written(p4_labels(spark, folder))
+
+
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "chunks"))
 
@@ -49,6 +57,8 @@ QUERIES: dict[str, Query] = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_labels": p4_labels,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_ids": p6_ids,
