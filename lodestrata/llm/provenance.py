@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .bits import bit_map, place
 
 #: Share of a file's rare lines that must stand in one seeded project file, and of that file's size.
 CONTAINMENT = 0.6
 #: A line is rare if at least this share of the files that hold it are seeds, or few files hold it.
 SEED_SHARE, FEW_FILES = 0.2, 20
-#: Bits of the map that prunes lines no seed has: fixed, whatever the data.
-MAP_BITS = 24
 #: Lines of a header.
 HEAD_LINES = 12
 
@@ -51,6 +50,7 @@ _claim = re.compile(
 )
 _release = re.compile(r"(?:^|/)([A-Za-z][A-Za-z_]*(?:-[A-Za-z]+)*)-v?\d+\.\d+(?:\.\d+)*/")
 _comment = re.compile(r"\s*(?://|#|--|/\*|\*|<!--|;|%|\"\"\"|''')")
+_resource = re.compile(r"public static final int \w+\s*=\s*0x[0-9a-fA-F]{8};")
 _shape_name = re.compile(r"\"[^\"]*\"|'[^']*'|[A-Za-z_]\w*")
 _pem = re.compile(r"-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----", re.S)
 _blob = re.compile(r"[A-Za-z0-9+/]{60,}={0,2}|(?:\\x[0-9a-fA-F]{2}){20,}")
@@ -81,6 +81,8 @@ def composition(path: str, content: str, lines: list[str]) -> str | None:
     size = len(content)
     if re.search(r"_pb2(?:_grpc)?\.py$|\.pb\.(?:go|cc|h|ts|js)$|\.g\.(?:dart|cs|ts)$|(?:^|/)zz_generated", name):
         return "generated"
+    if ending == "java" and sum(bool(_resource.match(x)) for x in full) >= 0.6 * len(full):
+        return "generated"
     if ending in ("json", "map") and re.match(r"\s*\{\s*\"version\"\s*:\s*3\b", content) and '"mappings"' in content:
         return "minified"
     code = full[3:] if re.match(r"/\*!", full[0]) and len(full) > 3 else full
@@ -140,29 +142,6 @@ def _facts(df: DataFrame) -> DataFrame:
     return materialize(found.withColumn("n", F.monotonically_increasing_id()), "facts")
 
 
-def _bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The leading bits of all hashes as a bit map, merged on the executors; its size is fixed."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
-        for batch in batches:
-            if batch.schema.names[0] == "hash":
-                seen[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-            else:
-                for data in batch.column(0).to_pylist():
-                    packed = pa.decompress(data, decompressed_size=(1 << bits) // 8, codec="zstd", asbytes=True)
-                    seen |= np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        packed = pa.compress(np.packbits(seen).tobytes(), codec="zstd", asbytes=True)
-        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["bits"])
-
-    part = hashes.mapInArrow(mark, "bits binary").repartition(8).mapInArrow(mark, "bits binary")
-    merged = part.coalesce(1).mapInArrow(mark, "bits binary").first()
-    if merged is None:
-        return np.zeros(1 << bits, bool)
-    packed = pa.decompress(bytes(merged[0]), decompressed_size=(1 << bits) // 8, codec="zstd", asbytes=True)
-    return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-
-
 def _seeds(facts: DataFrame) -> DataFrame:
     """n and project of files with a claim: in the header, or by a folder named after a project or its release."""
     slim = facts.select("n", "project", "relative_path")
@@ -190,7 +169,7 @@ def label_files(df: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
         "seeds",
     )
     seed_lines = seeds.select("n", "origin", F.explode("lines").alias("hash"))
-    shared = spark.sparkContext.broadcast(_bit_map(seed_lines.select("hash"), MAP_BITS))
+    shared = spark.sparkContext.broadcast(bit_map(seed_lines.select("hash")))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
@@ -198,7 +177,7 @@ def label_files(df: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
             hashes = batch.column(1)
             flat = hashes.flatten().to_numpy()
             owner = np.repeat(batch.column(0).to_numpy(), np.diff(hashes.offsets.to_numpy()))
-            kept = seen[flat.view(np.uint64) >> np.uint64(64 - MAP_BITS)]
+            kept = seen[place(flat)]
             yield pa.RecordBatch.from_arrays([pa.array(owner[kept]), pa.array(flat[kept])], ["n", "hash"])
 
     index = materialize(facts.select("n", "lines").mapInArrow(prune, "n bigint, hash bigint"), "index")
