@@ -2,7 +2,7 @@
 
 A chunk's distinct runs of three words are hashed to entries of a sparse byte vector: the hash names a position and the
 byte that stands there. Two chunks of similarity t or more share at least ceil(t / (1 + t) * (|A| + |B|)) positional
-bytes, and, under any common order of the positional bytes, at least one among the first |A| - ceil(t * |A|) + 1 of each.
+bytes, and, under any common order of the positional bytes, at least s among the first |A| - ceil(t * |A|) + s of each.
 So only these are listed, in the order of a frequency sketch (of fixed size), the rarest first; the lists tally shared
 positional bytes per pair, the pairs are then held against the guaranteed minimum over their whole vectors, which is the
 exact similarity. No link is lost: the sketch sets the order only.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .bits import bit_map, prune
 from .graph import components
 
 WORDS, SIMILARITY = 3, 0.6
-#: Counters of the frequency sketch (4 bytes each): fixed, whatever the data.
-SKETCH_BITS = 20
+#: Counters of the frequency sketch (2 bytes each), as a power of two: fixed, whatever the data.
+SKETCH_BITS = 23
+#: Listed positional bytes that a pair must share; each one more lengthens every chunk's list by one.
+SHARED = 2
 #: Lists up to this length are paired out; longer ones go by their smallest member.
 SHORT_LIST = 6
 #: Sketch counts from which a list is dealt over SALTS tasks.
@@ -91,75 +95,87 @@ def _vectors(df: DataFrame, run: int) -> DataFrame:
 
 def _frequencies(vectors: DataFrame, bits: int) -> np.ndarray:
     """The sketch: how many chunks have entries with the same leading bits. Summed in slices on the executors."""
-    slices = 16
+    slices = 32
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(counts: np.ndarray) -> bytes:
+        return pa.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), codec="zstd", asbytes=True)
+
+    def unpack(data: bytes) -> np.ndarray:
+        size = 2 * (1 << bits) // slices
+        return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), "<u2")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
-            total += np.bincount(found >> np.uint64(64 - bits), minlength=1 << bits).astype(np.uint32)
-        parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(total, slices)]
+            at, n = np.unique((found >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+            total[at] += n.astype(np.uint32)
+        parts = [pack(x) for x in np.split(total, slices)]
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["at", "counts"])
 
-    def unpack(data: bytes) -> np.ndarray:
-        return np.frombuffer(pa.decompress(data, decompressed_size=4 * (1 << bits) // slices, codec="zstd", asbytes=True), "<u4")
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[at] = np.minimum(sums.get(at, np.uint32(0)) + unpack(data).astype(np.uint64), 2**32 - 1).astype(np.uint32)
+                sums[at] = np.minimum(sums.get(at, np.uint32(0)) + unpack(data).astype(np.uint32), 65535)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(sums), pa.int32()),
-                pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in sums.values()], pa.binary()),
-            ],
-            ["at", "counts"],
+            [pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], ["at", "counts"]
         )
 
     shape = "at int, counts binary"
-    merged = vectors.select("entries").mapInArrow(partial, shape).repartition(slices, "at").mapInArrow(merge, shape)
+    merged = vectors.select("entries").mapInArrow(count, shape).repartition(slices, "at").mapInArrow(merge, shape)
     rows = {r["at"]: unpack(bytes(r["counts"])) for r in merged.collect()}
-    return np.concatenate([rows.get(k, np.zeros((1 << bits) // slices, np.uint32)) for k in range(slices)])
+    return np.concatenate([rows.get(k, np.zeros((1 << bits) // slices, "<u2")) for k in range(slices)])
 
 
 def listed(size: int, similarity: float) -> int:
     """How many of a chunk's entries must be listed."""
-    return size - math.ceil(similarity * size - 1e-9) + 1
+    return min(size, size - math.ceil(similarity * size - 1e-9) + SHARED)
+
 
+def _tally(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of one partition.
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of one partition. kind 0: pair a < b and its tally; 1: member b of long list a; 2: least member b of a salted list a."""
-    keys, nodes, salted = [], [], []
+    kind 0: pair a < b and how often short lists hold both, or SHARED if a long list's least member is in it; 1: member b
+    of long list a; 2: least member b of a salted list a. A short list shared by few entries is no ground to drop a pair:
+    chunks of so few entries that all are listed need only share one.
+    """
+    keys, nodes, sizes, salted = [], [], [], []
     for batch in batches:
         keys.append(batch.column(0).to_numpy())
         nodes.append(batch.column(1).to_numpy())
-        salted.append(batch.column(2).to_numpy(zero_copy_only=False))
+        sizes.append(batch.column(2).to_numpy())
+        salted.append(batch.column(3).to_numpy(zero_copy_only=False))
     if not keys:
         return
-    key, node, salt = np.concatenate(keys), np.concatenate(nodes), np.concatenate(salted)
+    key, node, many, salt = (np.concatenate(x) for x in (keys, nodes, sizes, salted))
     order = np.lexsort((node, key))
-    key, node, salt = key[order], node[order], salt[order]
+    key, node, many, salt = key[order], node[order], many[order], salt[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
     rank = np.arange(len(key)) - np.repeat(start, size)
     length = np.repeat(size, size)
-    first, second = [], []
+    first, second, weight = [], [], []
     for step in range(1, SHORT_LIST):
         at = np.flatnonzero((length <= SHORT_LIST) & (rank + step < length))
-        first.append(node[at])
-        second.append(node[at + step])
+        first.append(at)
+        second.append(at + step)
+        weight.append(np.ones(len(at), np.int64))
     long = length > SHORT_LIST
     at = np.flatnonzero(long & (rank > 0))
-    first.append(node[np.repeat(start, size)[at]])
-    second.append(node[at])
-    a, b = np.concatenate(first), np.concatenate(second)
-    kept = a != b
-    a, b = a[kept], b[kept]
+    first.append(np.repeat(start, size)[at])
+    second.append(at)
+    weight.append(np.full(len(at), SHARED))
+    a, b, tally = np.concatenate(first), np.concatenate(second), np.concatenate(weight)
+    least, most = np.minimum(many[a], many[b]), np.maximum(many[a], many[b])
+    kept = (node[a] != node[b]) & (least >= similarity * most - 1e-9)
+    a, b, tally, least = node[a[kept]], node[b[kept]], tally[kept], least[kept]
+    # with up to this many entries a guaranteed minimum below SHARED is possible
+    tally[np.ceil(similarity * least - 1e-9) < SHARED] = SHARED
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, tally = a[order], b[order], tally[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
-    tally = np.diff(np.concatenate([new, [len(a)]]))
+    tally = np.add.reduceat(tally, new) if len(new) else tally
     leaders = np.flatnonzero(salt & (rank == 0))
     members = np.flatnonzero(long | (salt & (length > 0)))
     for kind, x, y, n in (
@@ -188,24 +204,25 @@ def _lists(vectors: DataFrame, sketch: np.ndarray, bits: int, similarity: float)
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            keys, nodes, salted = [], [], []
+            keys, nodes, sizes, salted = [], [], [], []
             for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 entries = np.frombuffer(data, "<u8")
                 often = counts[entries >> np.uint64(64 - bits)]
                 chosen = np.lexsort((entries, often))[: listed(len(entries), similarity)]
                 keys.append(entries[chosen].view(np.int64))
                 nodes.append(np.full(len(chosen), n, np.int64))
+                sizes.append(np.full(len(chosen), len(entries), np.int32))
                 salted.append(often[chosen] >= frequent)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(salted))],
-                ["key", "n", "salted"],
+                [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, salted)],
+                ["key", "n", "size", "salted"],
             )
 
     total = vectors.agg(F.sum(F.length("entries") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((1 - similarity) * total / LIST_ROWS))
-    lists = vectors.select("n", "entries").mapInArrow(rarest, "key bigint, n bigint, salted boolean")
+    lists = vectors.select("n", "entries").mapInArrow(rarest, "key bigint, n bigint, size int, salted boolean")
     dealt = lists.repartition(parts, F.col("key"), F.when(F.col("salted"), F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0))
-    return materialize(dealt.mapInArrow(_tally, "kind int, a bigint, b bigint, tally int"), "lists")
+    return materialize(dealt.mapInArrow(partial(_tally, similarity), "kind int, a bigint, b bigint, tally int"), "lists")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
@@ -223,6 +240,9 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
                 kept.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    vectors = prune(vectors.select("n", "entries"), "n", bit_map(named))
     one = vectors.select(F.col("n").alias("a"), F.col("entries").alias("x"))
     two = vectors.select(F.col("n").alias("b"), F.col("entries").alias("y"))
     size = [F.length(c) for c in ("x", "y")]
@@ -252,7 +272,7 @@ def near_duplicate_groups(
     salted = lists.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("n"))
     least = salted.groupBy("key").agg(F.min("n").alias("a"))
     joined = salted.join(least, "key").where("n > a").select("a", F.col("n").alias("b"))
-    tallied = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("tally").alias("tally")).where("tally >= 1").select("a", "b")
+    tallied = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("tally").alias("tally")).where(F.col("tally") >= SHARED).select("a", "b")
     first = tallied.unionByName(joined).distinct()
     links = materialize(_verified(first, vectors, similarity), "links")
     groups = components(links.unionByName(given))
