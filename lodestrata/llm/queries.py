@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encoding, neardup, packing, provenance, secrets, splitting
+from . import encoding, neardup, packing, pii, provenance, secrets, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,14 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def p8_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.kinds_found(p8_masked(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -63,4 +71,6 @@ QUERIES: dict[str, Query] = {
     "p5_redacted": p5_redacted,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
+    "p8_found": p8_found,
+    "p8_masked": p8_masked,
 }
