@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encoding, neardup, packing, pii, provenance, secrets, splitting
+from . import encoding, neardup, packing, pii, provenance, secrets, splitting, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.pairs_of(p1_groups(spark, folder))
 
 
+def p2_checked(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.check_files(table(spark, folder, "files"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.invalid_files(p2_checked(spark, folder))
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.rates(p2_checked(spark, folder))
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
@@ -63,6 +75,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
