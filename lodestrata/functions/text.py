@@ -7,6 +7,7 @@ from difflib import get_close_matches
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .lexicon import ABBREVIATIONS, SPELLING
 
@@ -142,7 +143,7 @@ def fuzzy_match(vocabulary: list[str], cutoff: float = 0.85):
     The vocabulary is the bounded symbol list (500 names), so it travels with the function.
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def match(words: pd.Series) -> pd.Series:
         memo: dict[str, str] = {}
 
