@@ -361,7 +361,7 @@ def embedding_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def folder_eta(spark: SparkSession, folder: str) -> DataFrame:
     times = table(spark, folder, "events").where("value IS NOT NULL").select(F.col("event_type").alias("run"), "event_id", F.col("value").alias("seconds"))
-    return store.folder_eta(times, "event_id", "seconds").select("run", "event_id", F.round("eta", 2).alias("eta"))
+    return store.folder_eta(times, "event_id", "seconds").select("run", "event_id", F.round("eta", -1).alias("eta"))
 
 
 def priced_lines(spark: SparkSession, folder: str) -> DataFrame:

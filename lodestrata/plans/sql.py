@@ -151,7 +151,7 @@ SQL: dict[str, str] = {
     WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id), s AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
     SELECT event_type, nth, round((n - 1) / nullif(seconds, 0), 9) AS rate FROM e WHERE nth % 20 = 0""",
     "folder_eta": """SELECT event_type AS run, event_id, round((count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) + 1)
-    * avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 2) AS eta FROM events WHERE value IS NOT NULL""",
+    * avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS eta FROM events WHERE value IS NOT NULL""",
     "area_plan": f"""WITH {FILES}, {_areas}, a AS (SELECT DISTINCT repo_id, area, {_area('area')} AS profile FROM base),
     k AS (SELECT repo_id, area, ending, count(*) AS n, sum(size) AS size FROM base GROUP BY ALL),
     c AS (SELECT repo_id, area, sum(n) AS files, sum(size)::BIGINT AS bytes FROM k JOIN a USING (repo_id, area) WHERE CASE profile WHEN 'frontend' THEN ending IN {_frontend} AND size / n <= 358400 WHEN 'spring' THEN ending IN {_spring} AND size / n <= 512000 ELSE ending IN {_known} AND size / n <= 512000 END GROUP BY ALL)
