@@ -21,11 +21,22 @@ class Index:
     dfs: DataFrame
     stats: DataFrame
     docs: DataFrame
+    #: doc_id, dl, tokens, where the index is not stored: a search then counts the asked terms only
+    tokens: DataFrame | None = None
 
     def stored(self) -> Index:
         """The index written to the shared folder, once for many queries."""
         return Index(*(materialize(x, "index") for x in (self.postings, self.dfs, self.stats, self.docs)))
 
+    def asked(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """postings and dfs of a few terms. Without a stored index they are counted from the tokens that match."""
+        if self.tokens is None:
+            return self.postings, self.dfs
+        words = self.tokens.select("doc_id", "dl", F.explode("tokens").alias("term"))
+        hits = words.join(F.broadcast(terms.select("term").distinct()), "term")
+        hits = hits.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        return hits, hits.groupBy("term").agg(F.count("*").alias("df"))
+
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """Documents without tokens count in n and in the mean length; null texts are empty."""
@@ -36,7 +47,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     )
     dfs = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = sized.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    return Index(postings, dfs, stats, sized.select("doc_id", "dl"))
+    return Index(postings, dfs, stats, sized.select("doc_id", "dl"), sized)
 
 
 def query_terms(spark: SparkSession, queries: list[str]) -> DataFrame:
@@ -51,9 +62,10 @@ def score(index: Index, terms: DataFrame) -> DataFrame:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # one row of statistics, and the terms of a few questions: both of a size that no data changes
-    asked = terms.join(index.dfs, "term").crossJoin(F.broadcast(index.stats)).withColumn("idf", idf)
+    postings, dfs = index.asked(terms)
+    asked = terms.join(dfs, "term").crossJoin(F.broadcast(index.stats)).withColumn("idf", idf)
     return (
-        index.postings.join(F.broadcast(asked), "term")
+        postings.join(F.broadcast(asked), "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("weight") * F.col("idf") * part).alias("score"))
     )

@@ -76,6 +76,8 @@ def test_bm25_against_loop(spark):
                 want += math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / avg))
         assert abs(got.get((0, d), 0.0) - want) < 1e-9
     assert lexical.padded(index, lexical.query_terms(spark, ["zzz"]), 5).count() == 5
+    again = lexical.score(index.stored(), lexical.query_terms(spark, ["apple apple fig", "zzz"])).collect()
+    assert {k: round(v, 9) for k, v in got.items()} == {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in again}
 
 
 def test_cosine_blocks_against_numpy(spark):
