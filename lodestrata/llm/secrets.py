@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 #: Words of the dictionary at most: a model parameter, taken by the number of chunks (of all chunks).
 DICTIONARY_WORDS = 50_000
-#: Chunks that must hold a word before it explains anything.
-LEAST_CHUNKS = 5
+#: Share of all chunks that must hold a word of three letters before it explains anything; each further letter makes a
+#: chance fragment rarer and takes a tenth. In small tables a share may be less than one chunk: there it is so many.
+WORD_SHARE, LEAST_CHUNKS = 0.001, 5
 #: Residual characters that make a literal a secret under a neutral name, and under a credential's name.
 LONG_RESIDUAL, SHORT_RESIDUAL = 14, 1
 MARK = "REDACTED"
@@ -71,6 +72,8 @@ _assign = re.compile(r"(?:^|[\s\->;{(,])((?:[A-Za-z_][\w.\-]*[ ])?[A-Za-z_][\w.\
 _open_key = re.compile(r"([A-Za-z_][\w.\-]*)[\"'\]]{0,2}\s*(?::=|=>|=|:|\()\s*(?:\(|\\|[|>][\-+]?|\[)?\s*$")
 _words = re.compile(r"[A-Z]?[a-zß-ÿ]+|[A-Z]+(?![a-z])|[0-9]+")
 _alpha = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_run = re.compile(r"[A-Za-z0-9+/_\-]{3,}")
+_letters = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{3,40}(?![A-Za-z0-9])")
 #: What a chunk must hold somewhere to have a secret at all: a credential's name, a form above, or a long mixed token.
 _anything = re.compile(
     r"(?i:pass|pwd|secret|token|key|cred|auth|dsn|login|pem|kennwort|contrase|clave|bearer|basic )|-----BEGIN|://[^\s/:@]*:[^\s/@]+@|eyJ|AK?SIA|/services/"
@@ -298,7 +301,14 @@ def _line_spans(line: str, before: str, lines: list[str], number: int, unquoted:
     return spans
 
 
-def dictionary(df: DataFrame, words: int = DICTIONARY_WORDS, least: int = LEAST_CHUNKS) -> dict[str, int]:
+def evidence(run: str) -> list[str]:
+    """Words that a run of text vouches for: none beside digits, none out of a literal of mixed case and digits."""
+    if len(run) >= 12 and re.search(r"[0-9]", run) and re.search(r"[a-z]", run) and re.search(r"[A-Z]", run):
+        return []
+    return [w.lower() for token in _letters.findall(run) for w in _alpha.findall(token) if len(w) > 2]
+
+
+def dictionary(df: DataFrame, words: int = DICTIONARY_WORDS, least: int = LEAST_CHUNKS, share: float = WORD_SHARE) -> dict[str, int]:
     """Words of all contents by the number of chunks that hold them, the most frequent ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +317,12 @@ def dictionary(df: DataFrame, words: int = DICTIONARY_WORDS, least: int = LEAST_
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 own = set()
-                for token in set(re.findall(r"[A-Za-z]{3,40}", content or "")):
-                    parts = split.get(token)
+                for run in set(_run.findall(content or "")):
+                    parts = split.get(run)
                     if parts is None:
                         if len(split) > 300_000:
                             split.clear()
-                        parts = split[token] = [w.lower() for w in _alpha.findall(token) if len(w) > 2]
+                        parts = split[run] = evidence(run)
                     own.update(parts)
                 total.update(own)
                 if len(total) > 1_000_000:
@@ -323,8 +333,9 @@ def dictionary(df: DataFrame, words: int = DICTIONARY_WORDS, least: int = LEAST_
         )
 
     counted = df.select(F.col("content").cast("string")).mapInArrow(count, "word string, n bigint")
+    support = F.lit(share * df.count()) * F.pow(F.lit(10.0), 3 - F.length("word"))
     rows = (
-        counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        counted.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") >= support))
         .orderBy(F.desc("n"), "word").limit(words).collect()
     )
     return {r["word"]: r["n"] for r in rows}

@@ -39,3 +39,14 @@ def test_table(chunks):
 def test_viterbi():
     s = secrets.Segmenter(WORDS)
     assert s.residual("ledgerToken") == 0 and s.residual("queue_77") == 0 and s.residual("Zk3Qp9xT") >= 7
+
+
+def test_dictionary_share(chunks):
+    plain = [(f"p{i}", "f.py", "ledger = queue") for i in range(6000)]
+    cut = [(f"c{i}", "f.py", f"Zk{i}abf9Qx = efh{i}; t = 'Ab3+egm/Xy9Qw2bcc+Lt'") for i in range(30)]
+    mangled = [(f"m{i}", "f.js", "function qkw(n){}") for i in range(6)]
+    rare = [(f"r{i}", "f.py", "harbourmaster = 1") for i in range(6)]
+    words = secrets.dictionary(chunks(plain + cut + mangled + rare))
+    assert words["ledger"] == words["queue"] == 6000 and words["harbourmaster"] == 6
+    assert not {"abf", "efh", "egm", "bcc", "qkw"} & set(words)
+    assert "qkw" in secrets.dictionary(chunks(mangled))
