@@ -1,11 +1,9 @@
 """Problem 8: personal information in free text, by a character-level bidirectional LSTM with CRF transitions.
 
-The model (pii_model, trained by pii_training from labelled spans) reads windows of text. Windows are laid around every
-place that could hold a value at all: an at-sign in any spelling, seven digits close together, letters and digits mixed
-as in identity numbers, two capitalised words in a row, a number beside a capitalised word or a post box. A region longer
-than a window is read in overlapping windows; each character takes its tag from the window in whose middle it lies most,
-which gives one tagging of the whole text. Spans are widened to whole tokens, and a check of the form drops what cannot be
-of its kind; it adds nothing.
+The model (pii_model, trained by pii_training from labelled spans) reads every text from start to end in overlapping
+windows; equal windows of a batch are read once. Each character takes its tag from the window in whose middle it lies
+most, which gives one tagging of the whole text. Combining marks are left out before the model and put back into the
+spans. Spans are widened to whole tokens, and a check of the form drops what cannot be of its kind; it adds nothing.
 
 Defined results: null, empty and blank texts hold nothing and stay as they are; the whole text is read, whatever its
 length; each row gives its own result, also when texts or keys repeat; other columns are dropped.
@@ -25,27 +23,16 @@ from pyspark.sql import functions as F
 
 from .pii_model import KINDS, emissions, encode, viterbi
 
-WINDOW, STRIDE, AROUND, BATCH = 128, 88, 36, 512
+#: Windows share so much that each character has 36 on either side in one of them, as far as the text goes.
+WINDOW, STRIDE, BATCH = 256, 184, 512
 
 _up = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _low = "a-zß-öø-ÿłśšžœ"
-#: Where a value could be. Wide on purpose: the model decides. Sentences that only begin with an article, and the
-#: stamps of log lines, are left out.
-_could = [
-    re.compile(pattern)
-    for pattern in (
-        r"[@＠]|[\[({<]\s?[aA][tT]\s?[\])}>]",
-        r" at [\w.\-]+ dot\b",
-        r" AT [\w.\-]+ DOT\b",
-        r"(?<![\d\-])(?!\d{4}-\d\d-\d\dT)\d[ ().\-/+]{0,3}(?:\d[ ().\-/+]{0,3}){6,}",
-        r"\b[A-Z]{1,2}-?[ ]?\d[\dA-Z]{1,3}[ \dA-Z\-]{3,}",
-        rf"\b(?!(?:Der|Die|Das|Den|Dem|The|Les?|La|El|Los|Las) )[{_up}][{_up}{_low}'’]+(?:-[{_up}{_low}]+)*(?:[,;]\s?|[ ])(?:[{_up}]\.,?[ ])?[{_up}][{_up}{_low}'’]+",
-        rf"\b\d{{1,4}} ?[A-Za-z]?(?:,? (?:bis|ter))?,? (?:[{_low}]+ )?(?:des? |du |de la |(?:de )?l['’])?[{_up}][{_low}]",
-        rf"\b[{_up}][{_up}{_low}]+\.?,? \d{{1,4}}[a-z]?(?:,| \d|\s*\n)",
-    )
-]
 _token = re.compile(r"[^\s,;:<>()\[\]{}\"|=]+")
-_word = re.compile(rf"[{_up}][{_up}{_low}'’]+")
+_word = re.compile(r"[^\W\d_](?:[^\W\d_]|['’\u0300-\u036f])+")
+#: The word behind a first name where the model stops after it.
+_second = re.compile(rf"(?:\s|[^\S\n]{{2}})({_word.pattern})(?!\w)")
+_marks = re.compile(r"[\u0300-\u036f]")
 
 _model: dict | None = None
 
@@ -59,18 +46,9 @@ def model() -> dict:
     return _model
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Parts of a text that could hold a value, with their surroundings; they do not overlap."""
-    size = len(text)
-    found = sorted((m.start(), m.end()) for pattern in _could for m in pattern.finditer(text))
-    out: list[list[int]] = []
-    for low, high in found:
-        a, b = max(0, low - AROUND), min(size, high + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def capitalised(value: str) -> list[str]:
+    """Words of any alphabet that begin with a capital letter."""
+    return [w for w in _word.findall(value) if w[0].isupper()]
 
 
 def windows(a: int, b: int) -> list[tuple[int, int]]:
@@ -83,32 +61,41 @@ def windows(a: int, b: int) -> list[tuple[int, int]]:
 def tag_texts(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans (start, end, kind number) of each text, as the model tags them."""
     p = model()
-    jobs: list[tuple[int, int, int]] = []
-    codes = []
+    jobs: dict[bytes, list[tuple[int, int, int]]] = {}
+    kept: dict[int, np.ndarray] = {}  # places of the characters that are no combining marks
     for k, text in enumerate(texts):
-        found = regions(text) if text else []
-        codes.append(encode(text) if found else None)
-        for a, b in found:
-            jobs.extend((k, s, e) for s, e in windows(a, b))
-    # windows of like length share a batch
-    jobs.sort(key=lambda j: j[2] - j[1])
+        if not text or text.isspace():
+            continue
+        codes = encode(text)
+        if _marks.search(text):
+            kept[k] = np.array([i for i, c in enumerate(text) if not _marks.match(c)], np.int64)
+            codes = codes[kept[k]]
+        for s, e in windows(0, len(codes)):
+            jobs.setdefault(codes[s:e].tobytes(), []).append((k, s, e))
     tagged: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    for at in range(0, len(jobs), BATCH):
-        part = jobs[at : at + BATCH]
-        steps = max(e - s for _, s, e in part)
-        ids = np.zeros((steps, len(part)), np.uint8)
-        for column, (k, s, e) in enumerate(part):
-            ids[: e - s, column] = codes[k][s:e]
+    hit: set[int] = set()
+    # windows of like length share a batch
+    distinct = sorted(jobs, key=len)
+    for at in range(0, len(distinct), BATCH):
+        part = distinct[at : at + BATCH]
+        ids = np.zeros((len(part[-1]), len(part)), np.uint8)
+        for column, window in enumerate(part):
+            ids[: len(window), column] = np.frombuffer(window, np.uint8)
         tags = viterbi(p, emissions(p, ids))
-        for column, (k, s, e) in enumerate(part):
-            row = tags[: e - s, column]
-            if row.any():
-                tagged.setdefault(k, []).append((s, e, row))
-            elif e - s == WINDOW:
+        for column, window in enumerate(part):
+            row = tags[: len(window), column].copy()
+            some = bool(row.any())
+            for k, s, e in jobs[window]:
                 tagged.setdefault(k, []).append((s, e, row))
+                if some:
+                    hit.add(k)
     out = []
     for k, text in enumerate(texts):
-        out.append(_reconcile(text, tagged[k]) if k in tagged else [])
+        spans = _reconcile(text, tagged[k]) if k in hit else []
+        if k in kept:
+            ends = np.append(kept[k][1:], len(text))  # marks belong to the letter before
+            spans = [(int(kept[k][a]), int(ends[b - 1]), kind) for a, b, kind in spans]
+        out.append(spans)
     return out
 
 
@@ -156,6 +143,8 @@ def checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int
             b += 1
         while b > a and (text[b - 1].isspace() or text[b - 1] in ",;:.!?<>\"'|"):
             b -= 1
+        if KINDS[kind] == "name" and len(capitalised(text[a:b])) == 1 and (found := _second.match(text, b)) and found[1][0].isupper():
+            b = found.end()
         while a < b and (text[a].isspace() or text[a] in ",;:.!?<>\"'|"):
             a += 1
         if text[a:b].startswith("(") and ")" not in text[a:b]:
@@ -216,8 +205,8 @@ def possible(text: str, a: int, b: int, kind: str) -> bool:
             return bool(_id_words.search(text[max(0, a - 40) : a]))
         return (5 if re.search(r"[A-Z]", value) else 6) <= digits <= 15 and not re.search(r"[a-z]", value) and not re.search(r"[A-Z]{4,}", value)
     if kind == "address":
-        return digits > 0 and bool(_word.search(value)) and len(value) > 8
-    words = _word.findall(value)
+        return digits > 0 and bool(capitalised(value)) and len(value) > 8
+    words = capitalised(value)
     if words and words[0].lower() in _articles:
         return False
     return len(words) >= 2 and digits == 0 and not re.search(r"[_(){}]", value) and len(value) <= 60

@@ -43,3 +43,15 @@ def test_texts(documents):
     masked = {r["doc_id"]: r["masked"] for r in found.where("doc_id > 1").collect()}
     assert masked[2] == "On-call phone: [PHONE]\n" and masked[5] == "Please ask [NAME] before merging." and masked[7] is None and masked[8] == ""
     assert pii.find_personal(documents([])).count() == 0
+
+
+def test_reads_everything():
+    """Names of forms no pattern was written for, and none where words only look like one."""
+    decomposed = "Lindílde Ivérfield"
+    for name in ("Jiří Novák", decomposed, "Lindilde\nIverfield", "Lindilde  Iverfield", "Lindilde Iverfield"):
+        text = f"Please ask {name} before merging."
+        assert pii.checked(text, pii.tag_texts([text])[0]) == [(11, 11 + len(name), "name")], name
+    text = "Please ask (innerFrame, linkedTuner) now"
+    assert pii.checked(text, pii.tag_texts([text])[0]) == []
+    text = "The parser gives up at the first bracket. " * 200
+    assert sum(e - s for s, e in pii.windows(0, len(text))) >= len(text)
