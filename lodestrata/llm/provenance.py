@@ -2,8 +2,8 @@
 
 Files that claim a third-party origin (a header that names a project's release or contributors, or a folder named after
 such a project or its release) are the seeds. An inverted index over hashes of the seeds' lines, joined with the lines of
-all files, gives the exact containment of each other file in each seeded project file, counted over rare lines, that is
-lines that stand mostly in seeds; edited copies without a claim come out by it, across repositories. The index is cut down
+all files, gives the exact containment of each other file in each seed, counted over rare lines, that is lines under few
+file names or often in seeds; edited copies without a claim come out by it, across repositories. The index is cut down
 on the map side by a bit map of fixed size. To the other files rules on their composition apply: a generator's header
 comment, the shape of compressed scripts and style sheets, rows of one shape, and encoded blobs. All rules look at the
 whole text.
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .bits import bit_map, place
 
-#: Share of a file's rare lines that must stand in one seeded project file, and of that file's size.
+#: Share of a file's rare lines that must stand in one seed, and of that seed's rare lines.
 CONTAINMENT = 0.6
-#: A line is rare if at least this share of the files that hold it are seeds, or few files hold it.
-SEED_SHARE, FEW_FILES = 0.2, 20
+#: A line is rare if at least this share of the files that hold it are seeds, or if it stands under few file names: this
+#: share of all files, and not less than so many. Copies of a file bear its name, so their number does not matter.
+SEED_SHARE, NAME_SHARE, FEW_NAMES = 0.2, 0.0003, 20
 #: Lines of a header.
 HEAD_LINES = 12
 
@@ -162,13 +163,14 @@ def label_files(df: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """repo_id, relative_path, label (generated, minified, data, vendored or null) and project of each file."""
     facts = _facts(df)
     spark = df.sparkSession
+    name = F.regexp_extract("relative_path", r"[^/]*$", 0)
     seeds = materialize(
         _seeds(facts).join(facts.select("n", "relative_path", "lines"), "n").select(
-            "n", F.concat_ws("/", "project", F.regexp_extract("relative_path", r"[^/]*$", 0)).alias("origin"), "project", "lines"
-        ),
+            "n", F.concat_ws("/", "project", name).alias("origin"), "project", "lines"
+        ).withColumn("text", F.xxhash64("origin", F.sort_array("lines"))),
         "seeds",
     )
-    seed_lines = seeds.select("n", "origin", F.explode("lines").alias("hash"))
+    seed_lines = seeds.select("n", F.explode("lines").alias("hash"))
     shared = spark.sparkContext.broadcast(bit_map(seed_lines.select("hash")))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +180,37 @@ def label_files(df: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
             flat = hashes.flatten().to_numpy()
             owner = np.repeat(batch.column(0).to_numpy(), np.diff(hashes.offsets.to_numpy()))
             kept = seen[place(flat)]
-            yield pa.RecordBatch.from_arrays([pa.array(owner[kept]), pa.array(flat[kept])], ["n", "hash"])
+            names = np.repeat(batch.column(2).to_numpy(), np.diff(hashes.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owner[kept]), pa.array(flat[kept]), pa.array(names[kept])], ["n", "hash", "name"]
+            )
 
-    index = materialize(facts.select("n", "lines").mapInArrow(prune, "n bigint, hash bigint"), "index")
-    held = index.groupBy("hash").agg(F.count("*").alias("files"))
+    index = materialize(
+        facts.select("n", "lines", F.xxhash64(name).alias("name")).mapInArrow(prune, "n bigint, hash bigint, name bigint"), "index"
+    )
+    few = max(FEW_NAMES, int(NAME_SHARE * facts.count()))
+    held = index.groupBy("hash").agg(F.count("*").alias("files"), F.countDistinct("name").alias("names"))
     seeded = seed_lines.groupBy("hash").agg(F.countDistinct("n").alias("seeds"))
-    rare = held.join(seeded, "hash").where((F.col("files") <= FEW_FILES) | (F.col("seeds") >= SEED_SHARE * F.col("files"))).select("hash")
-    origins = seed_lines.select("hash", "origin").distinct().join(rare, "hash")
-    origin_size = origins.groupBy("origin").agg(F.count("*").alias("origin_lines"))
+    rare = held.join(seeded, "hash").where((F.col("names") <= few) | (F.col("seeds") >= SEED_SHARE * F.col("files"))).select("hash")
+    # seeds of equal lines count once
+    texts = seeds.dropDuplicates(["text"]).select("text", "origin", F.explode("lines").alias("hash")).join(rare, "hash")
+    text_size = texts.groupBy("text").agg(F.count("*").alias("text_lines"))
+    origins = texts.select("hash", "origin").distinct()
     own = facts.select("n", F.size("lines").alias("own_lines"))
     # rare lines of a file are its lines less the frequent ones among those seeds have
     frequent = index.join(rare, "hash", "left_anti").join(seeded, "hash", "left_semi").groupBy("n").agg(F.count("*").alias("frequent"))
-    shared_lines = index.join(origins, "hash").groupBy("n", "origin").agg(F.count("*").alias("both"))
-    copies = (
-        shared_lines.join(own, "n").join(frequent, "n", "left").join(origin_size, "origin")
+    # what all seeds of one project and name hold together bounds what one of them does
+    candidates = (
+        index.join(origins, "hash").groupBy("n", "origin").agg(F.count("*").alias("both")).join(own, "n").join(frequent, "n", "left")
         .withColumn("rare_lines", F.col("own_lines") - F.coalesce("frequent", F.lit(0)))
-        .where((F.col("both") >= 3) & (F.col("both") >= containment * F.col("rare_lines")) & (F.col("both") >= containment * 0.7 * F.col("origin_lines")))
-        .groupBy("n").agg(F.max_by("origin", "both").alias("origin"))
+        .where((F.col("both") >= 3) & (F.col("both") >= containment * F.col("rare_lines")))
+        .select("n", "origin", "rare_lines")
+    )
+    copies = (
+        index.select("n", "hash").join(candidates, "n").join(texts, ["hash", "origin"])
+        .groupBy("n", "text", "origin", "rare_lines").agg(F.count("*").alias("both")).join(text_size, "text")
+        .where((F.col("both") >= 3) & (F.col("both") >= containment * F.col("rare_lines")) & (F.col("both") >= containment * 0.7 * F.col("text_lines")))
+        .groupBy("n").agg(F.max(F.struct("both", "origin"))["origin"].alias("origin"))
     )
     vendored = (
         seeds.select("n", F.col("project").alias("claimed"))

@@ -28,3 +28,13 @@ def test_labels(spark):
 
 def test_empty(spark):
     assert labels(spark, []) == {}
+
+
+def test_popular_and_many_releases(spark):
+    head = "# quill v1.2.{} - https://quill.example\n"
+    popular = [("a", f"s{i}/one.py", head.format(i) + CODE) for i in range(3)] + [("b", f"c{i}/one.py", CODE) for i in range(40)]
+    release = lambda i: "".join(f"def index_{i}_{j}(alpha):\n    return beta_{i}_{j}(alpha)\n" for j in range(12))
+    many = [("c", f"m{i}/index.py", "# (c) 2019 the osier contributors\n" + release(i)) for i in range(6)] + [("d", "x/index.py", release(4))]
+    mixed = "".join(f"def index_{i}_1(alpha):\n    return beta_{i}_1(alpha)\n" for i in range(6))
+    got = labels(spark, popular + many + [("d", "mixed/index.py", mixed), ("d", "own.py", CODE.replace("rare", "mine").replace("call", "made"))])
+    assert {k for k, v in got.items() if v is None} == {"mixed/index.py", "own.py"}
