@@ -32,8 +32,8 @@ CONTAINMENT = 0.6
 #: A line is rare if at least this share of the files that hold it are seeds, or if it stands under few file names: this
 #: share of all files, and not less than so many. Copies of a file bear its name, so their number does not matter.
 SEED_SHARE, NAME_SHARE, FEW_NAMES = 0.2, 0.0003, 20
-#: Lines of a header.
-HEAD_LINES = 12
+#: A claim may also stand in a comment between the first lines of code (a package clause, imports), this far.
+NEAR_LINES = 12
 
 # fixed values: what headers of generators and of third-party files say
 _generated = re.compile(
@@ -51,6 +51,8 @@ _claim = re.compile(
 )
 _release = re.compile(r"(?:^|/)([A-Za-z][A-Za-z_]*(?:-[A-Za-z]+)*)-v?\d+\.\d+(?:\.\d+)*/")
 _comment = re.compile(r"\s*(?://|#|--|/\*|\*|<!--|;|%|\"\"\"|''')")
+#: Go's rule: a line of its own on any line.
+_marker = re.compile(r"(?://|#) Code generated .* DO NOT EDIT\.")
 _resource = re.compile(r"public static final int \w+\s*=\s*0x[0-9a-fA-F]{8};")
 _shape_name = re.compile(r"\"[^\"]*\"|'[^']*'|[A-Za-z_]\w*")
 _pem = re.compile(r"-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----", re.S)
@@ -59,12 +61,30 @@ _lines = re.compile(r"\r\n|\n|\r")
 SETTINGS = {"properties", "ini", "cfg", "toml", "env", "conf", "md", "rst", "txt"}
 
 
-def header_claims(lines: list[str]) -> tuple[bool, str | None]:
-    """Whether the head says that a tool wrote the file, and the project it is said to come from."""
-    generated, project = False, None
-    for line in lines[:HEAD_LINES]:
-        if not _comment.match(line):
+def head(lines: list[str]) -> Iterator[str]:
+    """Comment lines before the first line of code, however many; lines inside an open block comment or docstring too."""
+    closing = None
+    for line in lines:
+        text = line.strip()
+        if closing:
+            yield line
+            if closing in text:
+                closing = None
             continue
+        if not text or text.startswith(("#!", "<?", "<!DOCTYPE", "<!doctype")) or text in ("'use strict';", '"use strict";'):
+            continue
+        if not _comment.match(line):
+            return
+        yield line
+        for opening, end in (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''")):
+            if text.startswith(opening) and end not in text[len(opening) :]:
+                closing = end
+
+
+def header_claims(lines: list[str]) -> tuple[bool, str | None]:
+    """Whether the head or a whole-line marker says that a tool wrote the file, and the project it is said to come from."""
+    generated, project = any(_marker.fullmatch(line.rstrip()) for line in lines), None
+    for line in (*head(lines), *(x for x in lines[:NEAR_LINES] if _comment.match(x))):
         if not _not_generated.search(line) and _generated.search(line) and "%s" not in line:
             generated = True
         if project is None and (found := _claim.search(line)):

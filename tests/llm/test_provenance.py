@@ -38,3 +38,14 @@ def test_popular_and_many_releases(spark):
     mixed = "".join(f"def index_{i}_1(alpha):\n    return beta_{i}_1(alpha)\n" for i in range(6))
     got = labels(spark, popular + many + [("d", "mixed/index.py", mixed), ("d", "own.py", CODE.replace("rare", "mine").replace("call", "made"))])
     assert {k for k, v in got.items() if v is None} == {"mixed/index.py", "own.py"}
+
+
+def test_long_heads():
+    licence = [f"// Licence text, line {i}" for i in range(20)]
+    marker = "// Code generated by protoc-gen-go. DO NOT EDIT."
+    assert provenance.header_claims([*licence, marker, "package a"]) == (True, None)
+    assert provenance.header_claims([*licence, "", "package a", *["x := 1"] * 30, marker]) == (True, None)
+    block = ["#!/usr/bin/env python", '"""A module.', *["More about it."] * 20, "Vendored from quill release 2.1", '"""']
+    assert provenance.header_claims([*block, "import os"]) == (False, "quill")
+    assert provenance.header_claims([*licence, "package a", *["x := 1"] * 30, "// generated by hand-run tool 1.2"]) == (False, None)
+    assert provenance.header_claims(["x = 1"] * 30 + ['s = "// Code generated by x. DO NOT EDIT."']) == (False, None)
