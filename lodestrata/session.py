@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
-    """A local session for tests and benchmarks; a cluster's own session is used as it is."""
+def local_session(cpus: int | str = "*", checkpoints: str | None = None, **conf: str) -> SparkSession:
+    """A local session for tests and benchmarks, with its folder for checkpoints; a cluster's own session is used as it is."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -20,17 +20,18 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.driver.memory", "6g")
         .config("spark.sql.adaptive.enabled", "true")
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names; every executor must reach it, so there is no fallback."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -39,16 +40,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestrata/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table that materialize() wrote, once nothing reads it any more; other tables stay."""
+    path = getattr(df, "_table_path", None)
+    if path is None:
+        return
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _shipped: set[str] = set()

@@ -11,8 +11,8 @@ from lodestrata.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, spark__sql__shuffle__partitions="4")
+def spark(tmp_path_factory):
+    session = local_session(4, "file://" + str(tmp_path_factory.mktemp("shared")), spark__sql__shuffle__partitions="4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
