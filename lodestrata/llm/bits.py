@@ -27,6 +27,17 @@ def _unpack(data: bytes, bits: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
 
+def fan_in(df: DataFrame) -> tuple[DataFrame, int]:
+    """df in at most four tasks a core, and the number of groups in which their results are merged first.
+
+    What every task sends is of fixed size; fewer tasks send less, and two steps keep what one merging task takes at the
+    root of their number.
+    """
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, 8)
+    groups = max(1, int(tasks**0.5) // 8)
+    return df.coalesce(tasks), groups
+
+
 def bit_map(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     """The map of all keys of a one-column table, merged on the executors in two steps."""
 
@@ -43,7 +54,8 @@ def bit_map(keys: DataFrame, bits: int = BITS) -> np.ndarray:
                 seen |= _unpack(data, bits)
         yield pa.RecordBatch.from_arrays([pa.array([_pack(seen)], pa.binary())], ["bits"])
 
-    parts = keys.mapInArrow(mark, "bits binary").repartition(8).mapInArrow(merge, "bits binary")
+    some, groups = fan_in(keys)
+    parts = some.mapInArrow(mark, "bits binary").repartition(8 * groups).mapInArrow(merge, "bits binary")
     merged = parts.repartition(1).mapInArrow(merge, "bits binary").first()
     return np.zeros(1 << bits, bool) if merged is None else _unpack(bytes(merged[0]), bits)
 

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import drop_table, materialize
 
-#: Doubling of reach makes this many rounds enough for chains of 2^30 links; a guard, not a cut.
+#: Doubling of reach makes this many rounds enough for chains of 2^30 links; beyond it the run fails.
 MAX_ROUNDS = 64
 
 
@@ -65,10 +65,15 @@ def components(edges: DataFrame) -> DataFrame:
             .select("a", "b")
             .distinct()
         )
-        edges = materialize(small, "edges")
+        last, edges = edges, materialize(small, "edges")
+        drop_table(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
+    out._table_path = edges._table_path
+    return out

@@ -1,18 +1,23 @@
-"""Problem 1: groups of near-duplicate chunks, by a byte-position inverted index with count filtering.
-
-A chunk's distinct runs of three words are hashed to entries of a sparse byte vector: the hash names a position and the
-byte that stands there. Two chunks of similarity t or more share at least ceil(t / (1 + t) * (|A| + |B|)) positional
-bytes, and, under any common order of the positional bytes, at least s among the first |A| - ceil(t * |A|) + s of each.
-So only these are listed, in the order of a frequency sketch (of fixed size), the rarest first; the lists tally shared
-positional bytes per pair, the pairs are then held against the guaranteed minimum over their whole vectors, which is the
-exact similarity. No link is lost: the sketch sets the order only.
-
-Long lists are not paired out. All members of one are tallied with the list's smallest member; the links found make
-components; only members outside the list's leading component are then tallied with the others, across components.
-Lists of frequent positional bytes are dealt over several tasks by salt and joined by their smallest members.
+"""Problem 1: groups of near-duplicate chunks, by an inverted index with count filtering.
+
+What stands for the method's positional bytes: an entry is the 64-bit hash of a run of three words, read as a position
+(its upper 56 bits) and the byte there (the lower 8) of a sparse vector. So the index is one over hashed runs; bytes at
+positions of the text itself move with every insertion and guarantee no minimum. Two chunks of similarity t or more share
+at least ceil(t / (1 + t) * (|A| + |B|)) entries, and, under any common order of the entries, at least s among the first
+|A| - ceil(t * |A|) + s of each. So only these are listed, in the order of a frequency sketch (of fixed size), the rarest
+first; the lists tally shared entries per pair, and pairs are held against the guaranteed minimum over their whole
+vectors, which is the exact similarity. No link is lost: the sketch sets the order only.
+
+Entries below FREQUENT in the sketch have short lists, which are paired out. What shares no such entry shares frequent
+ones alone, so at least the guaranteed minimum of both chunks' entries must be frequent: only chunks with t of their
+entries frequent stay in a long list, and only pairs with enough of them, and of like size, become candidates there.
+These long lists are tallied with the smallest member of each size band first; the links found make components; only
+members outside a list's leading component then meet those of other components in the neighbouring bands, in blocks.
+Lists of very frequent entries are dealt over several tasks by salt.
 
 Defined results: null contents and contents of fewer than three words have no runs and are in no group; rows of one id
-are one node; exact copies are linked by their word sequence; other columns are dropped.
+are one node; a text is one node, whatever the number of its copies, named by a 64-bit hash of its words (a billion
+texts have a chance of 3 % of one wrong match); other columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,21 +33,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .bits import bit_map, prune
+from ..session import drop_table, materialize
+from .bits import bit_map, fan_in, prune
 from .graph import components
 
 WORDS, SIMILARITY = 3, 0.6
 #: Counters of the frequency sketch (2 bytes each), as a power of two: fixed, whatever the data.
 SKETCH_BITS = 23
-#: Listed positional bytes that a pair must share; each one more lengthens every chunk's list by one.
+#: Listed entries that a pair must share; each one more lengthens every chunk's list by one.
 SHARED = 2
-#: Lists up to this length are paired out; longer ones go by their smallest member.
-SHORT_LIST = 6
+#: Sketch counts from which an entry is frequent; lists of others are paired out.
+FREQUENT = 24
 #: Sketch counts from which a list is dealt over SALTS tasks.
-FREQUENT, SALTS = 50_000, 16
-#: Listed positional bytes of a task.
-LIST_ROWS = 2_000_000
+VERY_FREQUENT, SALTS = 50_000, 16
+#: Listed entries of a task, members of a block of a long list, and texts that a task remembers to have listed.
+LIST_ROWS, BLOCK, SEEN = 2_000_000, 2_000, 300_000
 
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 _find = re.compile("[a-z0-9_]+").findall
@@ -71,6 +76,8 @@ def entries_of(words: np.ndarray, run: int = WORDS) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, run: int) -> DataFrame:
+    """id, n (the text's node) and entries of each row that has any."""
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for batch in batches:
@@ -81,20 +88,35 @@ def _vectors(df: DataFrame, run: int) -> DataFrame:
                     keys.append(None)
                     entries.append(None)
                     continue
-                keys.append(xxhash.xxh3_128_digest(" ".join(words)))
+                keys.append(xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63))
                 found = entries_of(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), run)
                 entries.append(found.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(entries, pa.binary())], ["id", "text", "entries"]
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array(entries, pa.binary())], ["id", "n", "entries"]
             )
 
     rows = df.select(F.col("id").cast("string").alias("id"), F.col("content").cast("string").alias("content"))
-    found = rows.mapInArrow(vectors, "id string, text binary, entries binary")
-    return materialize(found.where("entries IS NOT NULL").withColumn("n", F.monotonically_increasing_id()), "vectors")
+    found = rows.mapInArrow(vectors, "id string, n bigint, entries binary")
+    return materialize(found.where("entries IS NOT NULL"), "vectors")
+
+
+class _Once:
+    """Nodes that a task has seen: copies of a text are counted and listed once a task, as far as memory goes."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, node: int) -> bool:
+        if node in self.seen:
+            return False
+        if len(self.seen) >= SEEN:
+            self.seen.clear()
+        self.seen.add(node)
+        return True
 
 
 def _frequencies(vectors: DataFrame, bits: int) -> np.ndarray:
-    """The sketch: how many chunks have entries with the same leading bits. Summed in slices on the executors."""
+    """The sketch: how many chunks have entries with the same leading bits. Summed in slices, in two steps of fan-in."""
     slices = 32
 
     def pack(counts: np.ndarray) -> bytes:
@@ -105,25 +127,37 @@ def _frequencies(vectors: DataFrame, bits: int) -> np.ndarray:
         return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), "<u2")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total, fresh, own = np.zeros(1 << bits, np.uint32), _Once(), 0
         for batch in batches:
-            found = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+            nodes, entries = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = np.frombuffer(b"".join([e for n, e in zip(nodes, entries) if fresh(n)]), "<u8")
             at, n = np.unique((found >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
             total[at] += n.astype(np.uint32)
+            own = nodes[0] if nodes else own
         parts = [pack(x) for x in np.split(total, slices)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["at", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(slices), pa.int32()), pa.array([own % 4096] * slices, pa.int32()), pa.array(parts, pa.binary())],
+            ["at", "task", "counts"],
+        )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        some = 0
         for batch in batches:
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for at, task, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 sums[at] = np.minimum(sums.get(at, np.uint32(0)) + unpack(data).astype(np.uint32), 65535)
+                some = task
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], ["at", "counts"]
+            [pa.array(list(sums), pa.int32()), pa.array([some] * len(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())],
+            ["at", "task", "counts"],
         )
 
-    shape = "at int, counts binary"
-    merged = vectors.select("entries").mapInArrow(count, shape).repartition(slices, "at").mapInArrow(merge, shape)
+    shape = "at int, task int, counts binary"
+    some, groups = fan_in(vectors.select("n", "entries"))
+    merged = some.mapInArrow(count, shape)
+    if groups > 1:
+        merged = merged.repartition(slices * groups, "at", F.col("task") % groups).mapInArrow(merge, shape)
+    merged = merged.repartition(slices, "at").mapInArrow(merge, shape)
     rows = {r["at"]: unpack(bytes(r["counts"])) for r in merged.collect()}
     return np.concatenate([rows.get(k, np.zeros((1 << bits) // slices, "<u2")) for k in range(slices)])
 
@@ -133,39 +167,57 @@ def listed(size: int, similarity: float) -> int:
     return min(size, size - math.ceil(similarity * size - 1e-9) + SHARED)
 
 
+def band(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Similar chunks are of one size band or of neighbouring ones."""
+    return np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity)).astype(np.int32)
+
+
+#: Of a listed entry: salted, frequent; and that its chunk lists a frequent entry.
+_SALTED, _FREQUENT, _SOME = 1, 2, 4
+
+
 def _tally(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of one partition.
 
-    kind 0: pair a < b and how often short lists hold both, or SHARED if a long list's least member is in it; 1: member b
-    of long list a; 2: least member b of a salted list a. A short list shared by few entries is no ground to drop a pair:
-    chunks of so few entries that all are listed need only share one.
+    kind 0: pair a < b and how often short lists hold both, or SHARED if one is enough: where both list frequent entries
+    too, where a long list's least member of a size band is in it, and where chunks have so few entries that they need
+    only share one. kind 1: member b of long list a, with its size and its frequent entries.
     """
-    keys, nodes, sizes, salted = [], [], [], []
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
     for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        nodes.append(batch.column(1).to_numpy())
-        sizes.append(batch.column(2).to_numpy())
-        salted.append(batch.column(3).to_numpy(zero_copy_only=False))
-    if not keys:
+        for column, k in zip(columns, range(5)):
+            column.append(batch.column(k).to_numpy())
+    if not columns[0]:
         return
-    key, node, many, salt = (np.concatenate(x) for x in (keys, nodes, sizes, salted))
+    key, node, many, common, flags = (np.concatenate(x) for x in columns)
     order = np.lexsort((node, key))
-    key, node, many, salt = key[order], node[order], many[order], salt[order]
+    # a text is in a list once
+    fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (node[order][1:] != node[order][:-1])])
+    order = order[fresh]
+    key, node, many, common, flags = key[order], node[order], many[order], common[order], flags[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
     rank = np.arange(len(key)) - np.repeat(start, size)
     length = np.repeat(size, size)
+    # lists of frequent entries may still be short, unless other tasks hold more of them
+    short = ((flags & _FREQUENT) == 0) | ((length <= FREQUENT) & ((flags & _SALTED) == 0))
     first, second, weight = [], [], []
-    for step in range(1, SHORT_LIST):
-        at = np.flatnonzero((length <= SHORT_LIST) & (rank + step < length))
+    for step in range(1, int(length[short].max(initial=0))):
+        at = np.flatnonzero(short & (rank + step < length))
+        both = (flags[at] & flags[at + step] & _SOME) > 0
         first.append(at)
         second.append(at + step)
-        weight.append(np.ones(len(at), np.int64))
-    long = length > SHORT_LIST
-    at = np.flatnonzero(long & (rank > 0))
-    first.append(np.repeat(start, size)[at])
-    second.append(at)
-    weight.append(np.full(len(at), SHARED))
+        weight.append(np.where(both, SHARED, 1))
+    # who shares frequent entries only must have enough of them
+    members = np.flatnonzero(~short & (common >= similarity * many - 1e-9))
+    bands = band(many[members], similarity)
+    order = np.lexsort((node[members], bands, key[members]))
+    members, bands = members[order], bands[order]
+    lead = np.concatenate([[True], (key[members][1:] != key[members][:-1]) | (bands[1:] != bands[:-1])]) if len(members) else np.zeros(0, bool)
+    leader = members[np.maximum.accumulate(np.where(lead, np.arange(len(members)), 0))] if len(members) else members
+    first.append(leader[~lead])
+    second.append(members[~lead])
+    weight.append(np.full(int((~lead).sum()), SHARED))
     a, b, tally = np.concatenate(first), np.concatenate(second), np.concatenate(weight)
     least, most = np.minimum(many[a], many[b]), np.maximum(many[a], many[b])
     kept = (node[a] != node[b]) & (least >= similarity * most - 1e-9)
@@ -176,13 +228,8 @@ def _tally(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     a, b, tally = a[order], b[order], tally[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
     tally = np.add.reduceat(tally, new) if len(new) else tally
-    leaders = np.flatnonzero(salt & (rank == 0))
-    members = np.flatnonzero(long | (salt & (length > 0)))
-    for kind, x, y, n in (
-        (0, a[new], b[new], tally),
-        (1, key[members], node[members], np.ones(len(members), int)),
-        (2, key[leaders], node[leaders], np.ones(len(leaders), int)),
-    ):
+    none = np.zeros(len(new), int)
+    for kind, x, y, n, m in ((0, a[new], b[new], tally, none), (1, key[members], node[members], many[members], common[members])):
         for at in range(0, len(x), 100_000):
             part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays(
@@ -191,38 +238,41 @@ def _tally(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                     pa.array(x[part].astype(np.int64)),
                     pa.array(y[part].astype(np.int64)),
                     pa.array(n[part].astype(np.int32)),
+                    pa.array(m[part].astype(np.int32)),
                 ],
-                ["kind", "a", "b", "tally"],
+                ["kind", "a", "b", "tally", "common"],
             )
 
 
 def _lists(vectors: DataFrame, sketch: np.ndarray, bits: int, similarity: float) -> DataFrame:
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
-    frequent = FREQUENT
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, fresh = shared.value, _Once()
         for batch in batches:
-            keys, nodes, sizes, salted = [], [], [], []
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not fresh(n):
+                    continue
                 entries = np.frombuffer(data, "<u8")
                 often = counts[entries >> np.uint64(64 - bits)]
                 chosen = np.lexsort((entries, often))[: listed(len(entries), similarity)]
-                keys.append(entries[chosen].view(np.int64))
-                nodes.append(np.full(len(chosen), n, np.int64))
-                sizes.append(np.full(len(chosen), len(entries), np.int32))
-                salted.append(often[chosen] >= frequent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, salted)],
-                ["key", "n", "size", "salted"],
-            )
+                found = often[chosen]
+                flags = (found >= VERY_FREQUENT) * _SALTED + (found >= FREQUENT) * _FREQUENT + int(found[-1] >= FREQUENT) * _SOME
+                common = int((often >= FREQUENT).sum())
+                whole = (np.full(len(chosen), x, t) for x, t in ((n, np.int64), (len(entries), np.int32), (common, np.int32)))
+                for column, value in zip(out, (entries[chosen].view(np.int64), *whole, flags.astype(np.int32))):
+                    column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "n", "size", "common", "flags"])
 
     total = vectors.agg(F.sum(F.length("entries") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((1 - similarity) * total / LIST_ROWS))
-    lists = vectors.select("n", "entries").mapInArrow(rarest, "key bigint, n bigint, size int, salted boolean")
-    dealt = lists.repartition(parts, F.col("key"), F.when(F.col("salted"), F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0))
-    return materialize(dealt.mapInArrow(partial(_tally, similarity), "kind int, a bigint, b bigint, tally int"), "lists")
+    lists = vectors.select("n", "entries").mapInArrow(rarest, "key bigint, n bigint, size int, common int, flags int")
+    salt = F.when(F.col("flags").bitwiseAND(_SALTED) > 0, F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(0)
+    dealt = lists.repartition(parts, F.col("key"), salt)
+    return materialize(dealt.mapInArrow(partial(_tally, similarity), "kind int, a bigint, b bigint, tally int, common int"), "lists")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
@@ -242,11 +292,12 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
 
     pairs = materialize(pairs.select("a", "b"), "pairs")
     named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-    vectors = prune(vectors.select("n", "entries"), "n", bit_map(named))
+    # copies of a text have equal entries: one of them stands for all
+    vectors = prune(vectors.select("n", "entries"), "n", bit_map(named)).dropDuplicates(["n"])
     one = vectors.select(F.col("n").alias("a"), F.col("entries").alias("x"))
     two = vectors.select(F.col("n").alias("b"), F.col("entries").alias("y"))
     size = [F.length(c) for c in ("x", "y")]
-    return (
+    links = (
         pairs.select("a", "b")
         .join(one, "a")
         .join(two, "b")
@@ -254,6 +305,32 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
         .select("a", "b", "x", "y")
         .mapInArrow(verify, "a bigint, b bigint")
     )
+    links = materialize(links, "links")
+    drop_table(pairs)
+    return links
+
+
+def _across(lists: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Candidates of the long lists between components: members outside a list's leading component with those of others."""
+    members = lists.where("kind = 1").select(
+        F.col("a").alias("key"), F.col("b").alias("n"), F.col("tally").alias("size"), "common",
+        F.floor(F.log(F.greatest("tally", F.lit(1))) / -math.log(similarity)).cast("int").alias("band"),
+    )
+    members = members.join(groups.withColumnRenamed("node", "n"), "n", "left").withColumn("component", F.coalesce("component", "n"))
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("leading"), F.count("*").alias("kinds")).where("kinds > 1")
+    members = materialize(members.join(mixed.select("key", "leading"), "key"), "members")
+    blocks = members.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = members.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
+    held = held.select("key", "band", "block", F.col("n").alias("y"), F.col("size").alias("sy"), F.col("common").alias("fy"), F.col("component").alias("cy"))
+    asking = members.where("component <> leading").select(
+        "key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
+        F.col("n").alias("x"), F.col("size").alias("sx"), F.col("common").alias("fx"), F.col("component").alias("cx"),
+    )
+    asking = asking.join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    need = similarity / (1 + similarity) * (F.col("sx") + F.col("sy")) - 1e-6
+    met = asking.join(held, ["key", "band", "block"]).where((F.col("cx") != F.col("cy")) & (F.least("fx", "fy", "sx", "sy") >= need))
+    return members, met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicate_groups(
@@ -261,42 +338,28 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """id, component of each chunk that is in a group of two or more ids."""
     vectors = _vectors(df, run)
-    nodes = vectors.select("n", "id", "text")
-
-    def same(column: str) -> DataFrame:
-        least = nodes.groupBy(column).agg(F.min("n").alias("a"), F.count("*").alias("k")).where("k > 1")
-        return nodes.join(least, column).where("n > a").select("a", F.col("n").alias("b"))
-
-    given = materialize(same("text").unionByName(same("id")), "copies")
+    named = vectors.select("id", "n").distinct()
+    # rows of one id are one node
+    least = named.groupBy("id").agg(F.min("n").alias("a"), F.count("*").alias("k")).where("k > 1")
+    given = materialize(named.join(least, "id").where("n > a").select("a", F.col("n").alias("b")), "given")
     lists = _lists(vectors, _frequencies(vectors, bits), bits, similarity)
-    salted = lists.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("n"))
-    least = salted.groupBy("key").agg(F.min("n").alias("a"))
-    joined = salted.join(least, "key").where("n > a").select("a", F.col("n").alias("b"))
-    tallied = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("tally").alias("tally")).where(F.col("tally") >= SHARED).select("a", "b")
-    first = tallied.unionByName(joined).distinct()
-    links = materialize(_verified(first, vectors, similarity), "links")
+    tallied = lists.where("kind = 0").groupBy("a", "b").agg(F.sum("tally").alias("tally")).where(F.col("tally") >= SHARED)
+    links = _verified(tallied, vectors, similarity)
     groups = components(links.unionByName(given))
-
-    # long lists: members outside the leading component, with all members of other components
-    members = lists.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("n"))
-    members = members.join(groups.select(F.col("node").alias("n"), "component"), "n", "left").withColumn(
-        "component", F.coalesce("component", "n")
-    )
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    members = materialize(members.join(mixed.select("key"), "key"), "members")
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("k"))
-    leading = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("leading"))
-    outside = members.join(leading, "key").where("component <> leading").select("key", F.col("n").alias("x"), F.col("component").alias("cx"))
-    across = (
-        outside.join(members, "key")
-        .where(F.col("cx") != F.col("component"))
-        .select(F.least("x", "n").alias("a"), F.greatest("x", "n").alias("b"))
-        .distinct()
-    )
-    more = materialize(_verified(across, vectors, similarity), "links")
-    if not more.isEmpty():
-        groups = components(links.unionByName(given).unionByName(more))
-    return nodes.join(groups.withColumnRenamed("node", "n"), "n").select("id", "component").distinct()
+    used = [given, lists, links]
+    if not lists.where("kind = 1").isEmpty():
+        members, across = _across(lists, groups, similarity)
+        more = _verified(across, vectors, similarity)
+        used += [members, more]
+        if not more.isEmpty():
+            drop_table(groups)
+            groups = components(links.unionByName(given).unionByName(more))
+    found = named.join(groups.withColumnRenamed("node", "n"), "n", "left").select("id", F.coalesce("component", "n").alias("component")).distinct()
+    found = materialize(found, "found")
+    for table in (*used, groups, vectors):
+        drop_table(table)
+    several = found.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+    return found.join(several, "component").select("id", "component")
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
