@@ -51,6 +51,11 @@ SKIP_DIRS = (
     ".git .svn .hg node_modules __pycache__ .pytest_cache venv .venv env .env dist build target out .gradle .mvn logs log tmp temp "
     "generated generated-sources generated-test-sources .idea .vscode coverage .coverage migrations"
 ).split()
+# fixed values: folders that the planning of an index leaves out besides
+COMMON_SKIP_DIRS = (
+    ".git .svn .hg .idea .vscode node_modules target build dist out .gradle .mvn __pycache__ .pytest_cache coverage logs log tmp temp "
+    "generated generated-sources generated-test-sources"
+).split()
 SKIP_FILES = ["package-lock.json", "yarn.lock", "Pipfile.lock", "poetry.lock", "Cargo.lock", "go.sum"]
 MAX_FILE_KB = 500
 

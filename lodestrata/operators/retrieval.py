@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines, simple_tokens
 from .lexical import rrf
+from .lexical import top_k as best_of
 
 VECTOR_WEIGHT, LEXICAL_WEIGHT = 0.7, 0.3
 PER_FILE, WINDOW_BEFORE, WINDOW_AFTER, GREP_SCORE = 15, 10, 10, 1.2
@@ -51,8 +52,7 @@ def hybrid(vector: DataFrame, lexical: DataFrame, top_k: int, corpus: DataFrame
     found = fuse([(lexical, 1.0)]) if file_scoped else fuse([(vector, VECTOR_WEIGHT), (lexical, LEXICAL_WEIGHT)])
     if corpus is not None:
         found = found.join(corpus.select("doc_id"), "doc_id", "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top_k)
+    return best_of(found, top_k, best=F.round("score", 12))
 
 
 def file_lines(files: DataFrame, path: str = "file_path", text: str = "content") -> DataFrame:
@@ -128,8 +128,8 @@ def merge_spans(literal: DataFrame, semantic: DataFrame, hints: list[str] | None
 
 
 def rerank(chunks: DataFrame, query: str, terms: list[str], top_k: int, task: str = "general", least_overlap: float = 0.05) -> DataFrame:
-    """chunks (file_path, name, content, score, ord) with the score raised by exact terms, names and shared tokens, lowered
-    for strangers, tests and further chunks of a file; the top_k best with their rank."""
+    """chunks (file_path, name, content, score, and ord, which is unique) with the score raised by exact terms, names and
+    shared tokens, lowered for strangers, tests and further chunks of a file; the top_k best with their rank."""
     spark: SparkSession = chunks.sparkSession
     words = sorted({t.lower() for t in terms if t})
     # tokens of one question: computed once, as literals
@@ -150,10 +150,10 @@ def rerank(chunks: DataFrame, query: str, terms: list[str], top_k: int, task: st
     if task not in ("review", "debug"):
         path = F.lower("file_path")
         score = score * F.when(path.contains("test") | path.contains("spec"), 0.6).otherwise(1.0)
-    scored = diversified(scored.withColumn("score", score)).withColumn("score", F.round("score", 4))
-    w = Window.orderBy(F.desc("score"), "ord")
-    best = scored.drop("own", "hits", "oq", "op").orderBy(F.desc("score"), "ord").limit(top_k)
-    return best.withColumn("rank", F.row_number().over(w) - 1)
+    # contents stay out of the window and the sort; they come back for the top_k rows
+    slim = diversified(scored.select("file_path", "ord", score.alias("score"))).select("ord", F.round("score", 4).alias("score"))
+    best = slim.orderBy(F.desc("score"), "ord").limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ord")) - 1)
+    return chunks.drop("score", "rank").join(F.broadcast(best), "ord")
 
 
 def diversified(chunks: DataFrame) -> DataFrame:

@@ -8,29 +8,51 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from .lexical import top_k
+
 DIMENSION = 768
 #: Rows of a query block and of a data block: what one task holds, whatever the data.
 QUERY_BLOCK, DATA_BLOCK = 512, 4096
 
 
-def hashed_embedding(text: str | None, dimension: int = DIMENSION) -> list[float]:
-    """Unit vector of the first 150 words: each adds 1 / (position + 1) at four places that its MD5 names."""
-    out = np.zeros(dimension)
-    for i, word in enumerate((text or "").split()[:150]):
-        code = int(hashlib.md5(word.encode()).hexdigest(), 16)
-        for d in range(4):
-            out[(code >> (8 * d)) % dimension] += 1.0 / (i + 1)
-    norm = float(np.sqrt((out**2).sum()))
-    return (out / norm if norm else out).astype(np.float32).tolist()
+EMBED_WORDS = 150
+
+
+class _Places(dict):
+    """The four places that a word's MD5 names, remembered."""
+
+    def __missing__(self, word: str) -> np.ndarray:
+        code = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest(), 16)
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = np.array([(code >> (8 * d)) % DIMENSION for d in range(4)])
+        return found
+
+
+_places = _Places()
+
+
+def hashed_embeddings(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
+    """Unit vectors of the texts' first 150 lower-cased words: each adds 1 / (position + 1) at four places that its MD5 names."""
+    words = [(t or "").lower().split()[:EMBED_WORDS] for t in texts]
+    sizes = np.array([len(w) for w in words], int)
+    if not sizes.sum():
+        return np.zeros((len(texts), dimension), np.float32)
+    places = np.concatenate([_places[w] for row in words for w in row])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.bincount(np.repeat(row * dimension, 4) + places, np.repeat(1.0 / (at + 1), 4), len(texts) * dimension).reshape(len(texts), dimension)
+    norm = np.sqrt((out**2).sum(1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
 
 @F.pandas_udf(ArrayType(FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
-    return texts.map(hashed_embedding)
+    return pd.Series(list(hashed_embeddings(texts.tolist())))
 
 
 def cosine(a: str, b: str):
@@ -77,9 +99,13 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id
                 if not itself:
                     scores[qi[:, None] == di[None]] = -np.inf
                 best = min(k, len(di))
-                # all that tie with the last place stay, so that ties are settled by key over all blocks
-                edge = np.partition(scores, -best, axis=1)[:, -best][:, None]
-                r, c = np.nonzero((scores >= edge - 1e-12) & np.isfinite(scores))
+                # ties are settled by key within the block: no more than k of a query leave it
+                order = np.argsort(di, kind="stable")
+                di, scores = di[order], scores[:, order]
+                c = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :best].ravel()
+                r = np.repeat(np.arange(len(qi)), best)
+                kept = np.isfinite(scores[r, c])
+                r, c = r[kept], c[kept]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qi[r]), pa.array(di[c]), pa.array(scores[r, c])], ["query_id", key, "score"]
                 )
@@ -88,5 +114,4 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id
     right = _blocks(rows, key, vector, DATA_BLOCK, "d")
     met = left.crossJoin(right).select("q_ids", "q_rows", "d_ids", "d_rows")
     scored = met.mapInArrow(product, f"query_id bigint, {key} bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return top_k(scored, k, order=key, best=F.round("score", 9))

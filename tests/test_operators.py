@@ -26,6 +26,11 @@ def test_ignore_rules(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = {r["p"] for r in df.where(scan.gitignored(["*.log", "!keep.log", "/x.txt", "build/"])("p")).collect()}
     assert got == {"a/x.txt", "b.log", "build/y.py", "src/build"}
+    paths = ["apps/a.py", "lib/apps/a.py", "x/cat.py", "x/bat.py", "q/r/s.py", "a+b.py", "aab.py"]
+    df = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string")
+    got = {r["p"] for r in df.where(scan.gitignored(["/apps", "[!b]at.py", "q/", "!q/r/s.py", "a+b.py", "#x", "/"])("p")).collect()}
+    # a folder that is left out is not entered again; a leading slash still matches behind a slash
+    assert got == {"apps/a.py", "lib/apps/a.py", "x/cat.py", "q/r/s.py", "a+b.py"}
 
 
 def test_scan_differences(spark):
@@ -40,9 +45,30 @@ def test_areas(spark):
     rows = [("r", "backend/pom.xml", 10, "", "", None), ("r", "backend/src/main/java/A.java", 10, "", "", None), ("r", "ui/package.json", 5, "", "", None), ("r", "ui/app.ts", 5, "", "", None), ("r", "framework/build.gradle", 5, "", "", None)]
     got = {r["area"]: (r["profile"], r["files"]) for r in scan.plan_areas(files(spark, rows)).collect()}
     assert got == {"backend": ("spring", 2), "ui": ("frontend", 2), "framework": ("java-library", 1)}
+    assert "backend -> spring (2 files" in scan.format_analysis(scan.plan_areas(files(spark, rows)), files(spark, rows)).first()["text"]
     assert scan.repo_type(scan.plan_areas(files(spark, rows))).first()["repo_type"] == "mixed-monorepo"
 
 
+def test_nested_areas(spark):
+    rows = [(r, p, 10, "", "", None) for r, p in [
+        ("a", "apps/one/pom.xml"), ("a", "apps/one/sub/pom.xml"), ("a", "apps/one/src/A.java"), ("a", "apps/two/web/vite.config.mts"), ("a", "apps/two/web/x/build/b.js"), ("a", "ui/x.ts"),
+        ("a", "ui/deep/package.json"), ("b", "x/y.py"), ("b", "z.py"), ("c", "package.json"), ("c", "ui/a.ts"), ("d", "m/src/main/java/p/A.java"), ("d", "node_modules/q/package.json"), ("e", None)]]
+    got = {(r["repo_id"], r["area"]): (r["profile"], r["files"], r["reason"]) for r in scan.plan_areas(files(spark, rows)).collect()}
+    assert got == {
+        ("a", "apps/one"): ("java-library", 3, "Detected java-project, maven"), ("a", "apps/two/web"): ("frontend", 0, "Detected vite"), ("a", "ui"): ("frontend", 2, "Detected conventional ui/ area."),
+        ("a", "ui/deep"): ("frontend", 1, "Detected node-ui"), ("b", ""): ("generic", 2, "No framework markers found; using generic source profile."), ("c", ""): ("frontend", 2, "Detected node-ui"),
+        ("d", "m/src/main"): ("spring", 1, "Detected spring-layout"),
+    }
+    types = {r["repo_id"]: r["repo_type"] for r in scan.repo_type(scan.plan_areas(files(spark, rows))).collect()}
+    assert types == {"a": "mixed-monorepo", "b": "generic-codebase", "c": "frontend-ui", "d": "spring-backend"}
+
+
+def test_folder_batches(spark):
+    rows = [(r, p, 10, "", "", None) for r, p in [("a", "z.py"), ("a", "b/c/d/e.py"), ("a", "b/c/x.bin"), ("a", ".x/a.py"), ("a", "b/build/a.py"), ("a", "b-1/q.py"), ("a", "b/a.py"), ("b", "q.bin")]]
+    got = [(r["repo_id"], r["folder"], r["files"], r["batch"]) for r in scan.folder_batches(files(spark, rows)).orderBy("repo_id", "batch").collect()]
+    assert got == [("a", "", 1, 1), ("a", "b", 1, 2), ("a", "b/c/d", 1, 3), ("a", "b-1", 1, 4), ("b", "", 0, 1)]
+
+
 def test_line_windows(spark):
     def spans(n):
         df = spark.createDataFrame([("\n".join(f"l{i}" for i in range(n)),)], "t string")
