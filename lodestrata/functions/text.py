@@ -74,15 +74,18 @@ def normalise_symbols(text: Column) -> Column:
     return F.trim(text)
 
 
+# fixed values: forms of names in a question, in this order
+SYMBOL_FORMS = [
+    r"(?U)\b[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b",
+    r"(?U)\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b",
+    r"(?U)\b\w+_\w+\b",
+    r"(?U)\b\w+(?=\(\))",
+]
+
+
 def code_symbols(text: Column) -> Column:
     """Camel, Pascal, snake and call names in that order, each once, longer than three characters."""
-    found = [
-        all_matches(text, r"(?U)\b[a-z]+(?:[A-Z][a-z0-9]*)+\b"),
-        all_matches(text, r"(?U)\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b"),
-        all_matches(text, r"(?U)\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"),
-        F.transform(all_matches(text, r"(?U)\b\w+(?=\()"), lambda x: x),
-    ]
-    return F.filter(F.array_distinct(F.concat(*found)), lambda x: F.length(x) > 3)
+    return F.filter(F.array_distinct(F.concat(*[all_matches(text, form) for form in SYMBOL_FORMS])), lambda x: F.length(x) > 3)
 
 
 def _lookup(words: dict[str, str]) -> Column:
@@ -94,54 +97,96 @@ def _capital_kept(word: Column, fixed: Column) -> Column:
     return F.when(F.substring(word, 1, 1).rlike("[A-Z]"), upper).otherwise(fixed)
 
 
-def fix_spelling(text: Column) -> Column:
-    """Known misspellings word by word; short, all-capital and numeric words stay."""
+def _words(text: Column) -> Column:
+    return F.split(F.trim(text), r"\s+")
+
+
+def _changed(word: Column, fixed: Column, note: str = "") -> Column:
+    """The new word, and what is said of the change; null where nothing changes."""
+    log = F.when(F.lower(fixed) != F.lower(word), F.concat(F.lit("'"), word, F.lit("' → '"), fixed, F.lit("'" + note)))
+    return F.struct(fixed.alias("word"), log.alias("log"))
+
+
+def _joined(changed: Column) -> tuple[Column, Column]:
+    return F.array_join(F.transform(changed, lambda x: x["word"]), " "), F.array_compact(F.transform(changed, lambda x: x["log"]))
+
+
+def _spelled(text: Column, fuzzy: Column | None = None) -> Column:
     known = _lookup(SPELLING)
 
     def fix(word: Column) -> Column:
         stays = (F.length(word) <= 2) | word.rlike("^[^a-z]*[A-Z][^a-z]*$") | word.rlike(r"^\d+$")
         fixed = F.try_element_at(known, F.lower(word))
-        return F.when(stays | fixed.isNull(), word).otherwise(_capital_kept(word, fixed))
+        out = F.when(~stays & fixed.isNotNull(), _changed(word, _capital_kept(word, fixed)))
+        if fuzzy is not None:
+            near = F.try_element_at(fuzzy, word)
+            out = out.when(~stays & (F.length(word) >= 7) & near.isNotNull() & (F.lower(near) != F.lower(word)), _changed(word, near, " (codebase symbol)"))
+        return out.otherwise(_changed(word, word))
 
-    return F.array_join(F.transform(F.split(F.trim(text), r"\s+"), fix), " ")
+    return F.transform(_words(text), fix)
 
 
-def expand_abbreviations(text: Column) -> Column:
-    """Known abbreviations word by word; punctuation behind one goes with it."""
+def fix_spelling(text: Column) -> Column:
+    """Known misspellings word by word; short, all-capital and numeric words stay."""
+    return _joined(_spelled(text))[0]
+
+
+def _expanded(text: Column) -> Column:
     known = _lookup(ABBREVIATIONS)
 
     def expand(word: Column) -> Column:
-        bare = F.lower(F.regexp_replace(word, r"[.,;:!?]+$", ""))
-        fixed = F.try_element_at(known, bare)
-        return F.when(fixed.isNull(), word).otherwise(_capital_kept(word, fixed))
+        fixed = F.try_element_at(known, F.lower(F.regexp_replace(word, r"\p{Punct}+$", "")))
+        return F.when(fixed.isNull(), _changed(word, word)).otherwise(_changed(word, _capital_kept(word, fixed)))
+
+    return F.transform(_words(text), expand)
 
-    return F.array_join(F.transform(F.split(F.trim(text), r"\s+"), expand), " ")
+
+def expand_abbreviations(text: Column) -> Column:
+    """Known abbreviations word by word; any punctuation behind one goes with it."""
+    return _joined(_expanded(text))[0]
 
 
-def correct_query(text: Column) -> Column:
-    """struct(original, corrected, symbols, was_corrected) of a question: symbols, splitting, spelling, abbreviations."""
+def correct_query(
+    text: Column, fuzzy: Column | None = None, spelling: bool = True, abbreviations: bool = True, identifiers: bool = True
+) -> Column:
+    """struct(original, corrected, symbols, changes, was_corrected) of a question: symbols, splitting, spelling, abbreviations.
+
+    fuzzy is a column that maps words to the nearest name of the code base (see nearest_names); each step can be left out. Null and blank
+    questions stay as they are.
+    """
     plain = normalise_symbols(F.trim(text))
-    cut = F.array_join(
-        F.transform(F.split(plain, r"\s+"), lambda w: F.when(w.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), camel_split(w)).otherwise(w)), " "
-    )
-    cut = snake_split(cut)
-    done = F.trim(F.regexp_replace(expand_abbreviations(fix_spelling(cut)), r"\s+", " "))
-    first_upper = text.rlike("^[A-Z]") & done.rlike("^[a-z]")
+    cut = plain
+    if identifiers:
+        camel = F.transform(_words(plain), lambda w: F.when(w.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), camel_split(w)).otherwise(w))
+        cut = snake_split(F.array_join(camel, " "))
+    split = F.when(cut != plain, F.array(F.lit("identifier split"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    done, spell_log = _joined(_spelled(cut, fuzzy)) if spelling else (cut, none)
+    done, short_log = _joined(_expanded(done)) if abbreviations else (done, none)
+    done = F.trim(F.regexp_replace(done, r"\s+", " "))
+    first_upper = text.rlike(r"^\p{Lu}") & done.rlike(r"^\p{Ll}")
     done = F.when(first_upper, F.concat(F.upper(F.substring(done, 1, 1)), F.substr(done, F.lit(2)))).otherwise(done)
+    changes = F.concat(split, spell_log, short_log)
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
     return F.struct(
         text.alias("original"),
         F.when(blank, text).otherwise(done).alias("corrected"),
-        F.when(blank, F.array().cast("array<string>")).otherwise(code_symbols(F.trim(text))).alias("symbols"),
-        F.when(blank, False).otherwise(done != plain).alias("was_corrected"),
+        F.when(blank, none).otherwise(code_symbols(F.trim(text))).alias("symbols"),
+        F.when(blank, none).otherwise(changes).alias("changes"),
+        F.when(blank, False).otherwise(F.size(changes) > 0).alias("was_corrected"),
     )
 
 
 def fuzzy_match(vocabulary: list[str], cutoff: float = 0.85):
-    """A vectorised function from words to their closest vocabulary entry (difflib ratio), else the word itself.
+    """A vectorised function from words to their closest vocabulary entry as written there (difflib ratio of the lower-cased
+    forms), else the word itself; words under seven characters stay.
 
     The vocabulary is the bounded symbol list (500 names), so it travels with the function.
     """
+    written: dict[str, str] = {}
+    for name in vocabulary:
+        written.setdefault(name.lower(), name)
+    lowered = [name.lower() for name in vocabulary]
 
     @F.pandas_udf(StringType())
     def match(words: pd.Series) -> pd.Series:
@@ -151,8 +196,8 @@ def fuzzy_match(vocabulary: list[str], cutoff: float = 0.85):
             if word is None or len(word) < 7:
                 return word
             if word not in memo:
-                found = get_close_matches(word.lower(), vocabulary, n=1, cutoff=cutoff)
-                memo[word] = found[0] if found else word
+                found = get_close_matches(word.lower(), lowered, n=1, cutoff=cutoff)
+                memo[word] = written[found[0]] if found else word
             return memo[word]
 
         return words.map(best)
@@ -160,13 +205,22 @@ def fuzzy_match(vocabulary: list[str], cutoff: float = 0.85):
     return match
 
 
-def strip_code_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?m)^```(?:json)?\s*|\s*```$", ""))
+def nearest_names(vocabulary: list[str]):
+    """A vectorised function from a text to a map of its long words to the nearest names of the vocabulary."""
+    match = fuzzy_match(vocabulary).func
+
+    @F.pandas_udf("map<string,string>")
+    def nearest(texts: pd.Series) -> pd.Series:
+        words = [[w for w in (t or "").split() if len(w) >= 7] for t in texts]
+        flat = pd.Series(sorted({w for row in words for w in row}), dtype=object)
+        found = dict(zip(flat, match(flat)))
+        return pd.Series([{w: found[w] for w in row if found[w] != w} for row in words])
 
+    return nearest
 
-def display_header(path: Column, name: Column, first: Column, last: Column) -> Column:
-    where = F.concat(path, F.lit(" (lines "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(")"))
-    return F.when(F.coalesce(name, F.lit("")) != "", F.concat(where, F.lit(" - "), name)).otherwise(where)
+
+def strip_code_fences(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?m)^```(?:json)?\s*|\s*```$", ""))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Files to chunks: overlapping line windows in the JVM, Python declarations by the standard library's parser."""
+"""Files to chunks: overlapping line windows in the JVM, declarations by each language's grammar."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from .grammar import Node, declarations
 from .scan import chunk_id
 
 MAX_LINES, OVERLAP, MIN_LINES, EMBED_CHARS = 60, 10, 3, 2048
@@ -48,8 +49,8 @@ def window_chunks(files: DataFrame) -> DataFrame:
     )
 
 
-def _python_parts(path: str, text: str) -> list[tuple]:
-    """(start, end, type, name, context) of the declarations of a Python text; empty where it does not parse."""
+def python_declarations(text: str) -> list[Node]:
+    """Declarations of a Python text by the standard parser; empty where it does not parse."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -57,33 +58,55 @@ def _python_parts(path: str, text: str) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+
+    def nodes(body: list[ast.stmt]) -> list[Node]:
+        return [Node(type(n).__name__, n.name, n.lineno, n.end_lineno, nodes(n.body)) for n in body if isinstance(n, kinds)]
+
+    return nodes(tree.body)
+
+
+def _windows(start: int, end: int, context: str) -> list[tuple]:
+    """Windows of lines from start to end; the first of fewer than the least number ends them."""
+    out = []
+    while end - start + 1 >= MIN_LINES:
+        out.append((start, min(start + MAX_LINES - 1, end), "block", None, context))
+        start += MAX_LINES - OVERLAP
+    return out
+
+
+def _parts(nodes: list[Node], parent: str = "") -> list[tuple]:
+    """(start, end, type, name, context): whole declarations, oversized ones by their members, else by windows."""
     out: list[tuple] = []
-    for node in tree.body:
-        if not isinstance(node, kinds) or node.end_lineno - node.lineno + 1 < MIN_LINES:
-            continue
-        if node.end_lineno - node.lineno + 1 <= MAX_LINES:
-            out.append((node.lineno, node.end_lineno, type(node).__name__, node.name, node.name))
+    for node in nodes:
+        size = node.end - node.start + 1
+        if size < MIN_LINES:
             continue
-        inner = [c for c in node.body if isinstance(c, kinds)]
-        if inner:
-            out.extend((c.lineno, c.end_lineno, type(c).__name__, c.name, f"{node.name} > {c.name}") for c in inner)
-            continue
-        start = node.lineno
-        while node.end_lineno - start + 1 >= MIN_LINES:
-            out.append((start, min(start + MAX_LINES - 1, node.end_lineno), "block", None, node.name))
-            start += MAX_LINES - OVERLAP
+        context = f"{parent} > {node.name}" if parent and node.name else (node.name or node.kind)
+        if size <= MAX_LINES:
+            out.append((node.start, node.end, node.kind, node.name, context))
+        else:
+            out.extend(_parts(node.members, context) if node.members else _windows(node.start, node.end, context))
     return out
 
 
-def python_chunks(files: DataFrame) -> DataFrame:
-    """Declarations of Python files, oversized ones by their members or line windows. Files without any give none."""
+def declared_parts(language: str | None, text: str) -> list[tuple]:
+    if language == "python":
+        return _parts(python_declarations(text))
+    return _parts(declarations(language, text)) if language else []
+
+
+def _chunked(files: DataFrame, fallback: bool) -> DataFrame:
+    """One pass over files: declarations, and line windows for those without any if fallback."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
             for repo, path, language, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 rows = text.splitlines()
-                for start, end, kind, name, context in _python_parts(path, text):
+                parts = declared_parts(language, text)
+                if not parts and fallback:
+                    parts = _windows(1, len(rows), path)
+                for start, end, kind, name, context in parts:
                     out.append(
                         {
                             "id": f"{repo}:{path}:{start}-{end}" if repo else f"{path}:{start}-{end}", "repo_id": repo, "file_path": path,
@@ -93,8 +116,13 @@ def python_chunks(files: DataFrame) -> DataFrame:
                     )
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-    python = files.where((F.col("language") == "python") & (F.length("content") > 0))
-    return python.select("repo_id", F.col("relative_path").alias("file_path"), "language", "content").mapInArrow(parse, CHUNK)
+    rows = files.where((F.length("content") > 0) & F.col("relative_path").isNotNull())
+    return rows.select("repo_id", F.col("relative_path").alias("file_path"), "language", "content").mapInArrow(parse, CHUNK)
+
+
+def python_chunks(files: DataFrame) -> DataFrame:
+    """Declarations of Python files, oversized ones by their members or line windows. Files without any give none."""
+    return _chunked(files.where(F.col("language") == "python"), False)
 
 
 _ARROW = pa.schema(
@@ -103,10 +131,11 @@ _ARROW = pa.schema(
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Declarations where the language's parser finds any, line windows for all other files."""
-    declared = python_chunks(files)
-    with_any = declared.select("repo_id", F.col("file_path").alias("relative_path")).distinct()
-    return declared.unionByName(window_chunks(files.join(with_any, ["repo_id", "relative_path"], "left_anti")))
+    """Declarations where the language's grammar finds any, line windows for all other files; each file is parsed once.
+
+    Null and empty contents and null paths give none; lines are those of Python's splitlines.
+    """
+    return _chunked(files, True)
 
 
 def embedding_text(chunks: DataFrame, limit: int = EMBED_CHARS) -> Column:

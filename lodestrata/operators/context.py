@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from ..functions.text import lines, query_tokens, rough_tokens
 
 CONTEXT_TOKENS, PROMPT_RESERVE, LEAST_BUDGET, LEAST_ROOM = 4096, 700, 600, 80
 HISTORY_TOKENS, HISTORY_SHARE = 4096, 0.8
+# fixed values: marks of left-out lines and of a cut text
 GAP = "    # ..."
+TRUNCATED = "\n# [... truncated for context budget]"
 
 
 def relevant_lines(content: Column, tokens: Column, around: int = 3) -> Column:
@@ -22,7 +25,7 @@ def relevant_lines(content: Column, tokens: Column, around: int = 3) -> Column:
         return F.transform(F.array(value), then)[0]
 
     def found(rows: Column) -> Column:
-        marked = F.transform(rows, lambda x, i: F.when(F.exists(tokens, lambda t: F.contains(F.lower(x), t)), i))
+        marked = F.transform(rows, lambda x, i: F.when(F.arrays_overlap(query_tokens(x), tokens), i))
         return bind(F.array_compact(marked), lambda hits: near(rows, hits))
 
     def near(rows: Column, hits: Column) -> Column:
@@ -48,32 +51,50 @@ def budget(query: Column) -> Column:
 
 
 def pack(ranked: DataFrame, by: str = "query_id", text: str = "content", room: Column | None = None) -> DataFrame:
-    """Rows of (by, rank, content) that fit the budget in rank order, with tokens and packed text.
+    """Rows of (by, rank, content) that fit the budget in rank order, with tokens and packed text; rank is unique in by.
 
-    The first that does not fit is cut to what is left, if that is more than 80 tokens, and ends the list.
+    The first that does not fit is cut to what is left, if that is more than 80 tokens, and ends the list. Every row has a
+    token at least, so no more rows than the largest budget has tokens can matter: that many leave each task. The sums run
+    over sizes only; the texts are joined to the rows that stay.
     """
-    room = F.lit(CONTEXT_TOKENS - PROMPT_RESERVE) if room is None else room
-    w = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranked.withColumn("tokens", rough_tokens(F.col(text))).withColumn("upto", F.sum("tokens").over(w)).withColumn("room", room)
+    most = CONTEXT_TOKENS - PROMPT_RESERVE
+    sized = ranked.select(by, "rank", rough_tokens(F.col(text)).alias("tokens"), (F.lit(most) if room is None else room).alias("room"))
+    first = Window.partitionBy(by).orderBy("rank")
+    sized = sized.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most + 1)
+    w = first.rowsBetween(Window.unboundedPreceding, 0)
+    summed = sized.withColumn("upto", F.sum("tokens").over(w))
     fits = F.col("upto") <= F.col("room")
     # the list ends at the first row that does not fit
     over = F.sum((~fits).cast("int")).over(w)
     left = F.col("room") - (F.col("upto") - F.col("tokens"))
     kept = summed.withColumn("over", over).where((F.col("over") == 0) | ((F.col("over") == 1) & ~fits & (left > LEAST_ROOM)))
-    cut = F.concat(F.substr(F.col(text), F.lit(1), (left * 3).cast("int")), F.lit("\n# ... (truncated)"))
-    return kept.withColumn("packed", F.when(F.col("over") == 0, F.col(text)).otherwise(cut)).drop("upto", "over", "room")
+    kept = kept.select(by, "rank", "tokens", F.when(F.col("over") > 0, left).alias("left"))
+    cut = F.concat(F.substr(F.col(text), F.lit(1), (F.col("left") * 3).cast("int")), F.lit(TRUNCATED))
+    return ranked.join(kept, [by, "rank"]).withColumn("packed", F.when(F.col("left").isNull(), F.col(text)).otherwise(cut)).drop("left")
 
 
-def build_context(ranked: DataFrame, query: str, by: str = "query_id") -> DataFrame:
-    """by, context, sources: the packed chunks, best last, under a line with the number of files."""
-    asked = query_tokens(F.lit(query))
-    shown = ranked.withColumn("content", relevant_lines(F.coalesce("content", F.lit("")), asked))
-    packed = pack(shown, by, room=budget(F.lit(query)))
-    body = F.concat(F.lit("### "), F.col("file_path"), F.lit("\n"), F.col("packed"))
+def format_chunk(path: Column, first: Column, last: Column, kind: Column, name: Column, language: Column, body: Column) -> Column:
+    """A chunk under its place and name, fenced."""
+    place = F.concat(F.lit("### "), path, F.lit(" (lines "), first.cast("string"), F.lit("–"), last.cast("string"), F.lit(")"))
+    named = F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit(" — "), F.coalesce(kind, F.lit("block")), F.lit(": `"), name, F.lit("`"))).otherwise("")
+    return F.concat(place, named, F.lit("\n```"), F.coalesce(language, F.lit("")), F.lit("\n"), body, F.lit("\n```"))
+
+
+def build_context(ranked: DataFrame, by: str = "query_id", query: str = "query") -> DataFrame:
+    """by, context, sources of ranked chunks with the question each row answers: the packed chunks, best last, under a line
+    with the number of files.
+
+    ranked has by, rank, query, file_path, start_line, end_line, chunk_type, name, language, content; each question filters
+    and budgets its own chunks, by the size of what is shown of them.
+    """
+    columns = (F.col(c) for c in ("file_path", "start_line", "end_line", "chunk_type", "name", "language"))
+    body = relevant_lines(F.coalesce("content", F.lit("")), query_tokens(F.col(query)))
+    shown = ranked.select(by, "rank", "file_path", F.col(query).alias("question"), format_chunk(*columns, body).alias("content"))
+    packed = pack(shown, by, room=budget(F.col("question")))
     # a budget of tokens bounds what one group collects
-    grouped = packed.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", body.alias("body"), "file_path")), asc=False).alias("parts"))
+    grouped = packed.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("packed").alias("body"), "file_path")), asc=False).alias("parts"))
     sources = F.array_distinct(F.reverse(F.transform("parts", lambda p: p["file_path"])))
-    head = F.concat(F.lit("## Code context from "), F.size(sources).cast("string"), F.lit(" file(s)\n\n"))
+    head = F.concat(F.lit("# Code context from "), F.size(sources).cast("string"), F.lit(" file(s)\n"))
     return grouped.select(by, F.concat(head, F.array_join(F.transform("parts", lambda p: p["body"]), "\n\n")).alias("context"), sources.alias("sources"))
 
 
@@ -107,11 +128,60 @@ TASKS = {
 }
 
 
-def build_prompt(task: Column, query: Column, context: Column, sources: Column) -> Column:
-    """struct(system, user): the task's instruction (general for unknown ones), up to six sources, the context, the question."""
+# fixed values: tokens of an answer by task
+ANSWER_TOKENS = {"explain": 1500, "review": 1500, "generate": 2048, "debug": 1200, "general": 1024, "chat": 800}
+#: What stands before a question for which no code was found.
+NO_CONTEXT = "(The index holds no code for this question: answer from general knowledge, and say that it is not from this code base.)"
+
+
+def build_prompt(task: Column, query: Column, context: Column, sources: Column, extra: Column | None = None) -> Column:
+    """struct(system, user, max_tokens): the task's instruction (general for unknown ones) with an extra one behind it, up to
+    six sources, the context, the question; a note instead where the context is null."""
     known = F.create_map(*[F.lit(x) for pair in TASKS.items() for x in pair])
-    listed = F.array_join(F.transform(F.slice(sources, 1, 6), lambda s: F.concat(F.lit("- "), s)), "\n")
+    limits = F.create_map(*[F.lit(x) for pair in ANSWER_TOKENS.items() for x in pair])
+    listed = F.array_join(F.transform(F.slice(sources, 1, 6), lambda s: F.concat(F.lit("  - "), s)), "\n")
     system = F.coalesce(F.try_element_at(known, task), F.lit(TASKS["general"]))
-    note = F.when(F.size(sources) > 0, F.concat(F.lit("Sources:\n"), listed, F.lit("\n\n"))).otherwise("")
-    user = F.when(F.length(context) > 0, F.concat(note, context, F.lit("\n\n---\n\n"), query)).otherwise(query)
-    return F.struct(system.alias("system"), user.alias("user"))
+    if extra is not None:
+        system = F.when(F.length(extra) > 0, F.concat(system, F.lit("\n"), extra)).otherwise(system)
+    note = F.when(F.size(sources) > 0, F.concat(F.lit("\nSource files used:\n"), listed, F.lit("\n"))).otherwise("")
+    found = F.when(F.length(context) > 0, F.concat(note, F.lit("\n"), context, F.lit("\n\n---\n\n"), query)).otherwise(query)
+    user = F.when(context.isNull(), F.concat(F.lit(NO_CONTEXT + "\n\n"), query)).otherwise(found)
+    return F.struct(system.alias("system"), user.alias("user"), F.coalesce(F.try_element_at(limits, task), F.lit(1024)).alias("max_tokens"))
+
+
+def compress_chunks(chunks: DataFrame, compress: Callable[[str, str], str], question: str, first: int = 3, least: int = 400) -> DataFrame:
+    """The first chunks by rank cut to what a function of (question, content) gives, a bounded few per question.
+
+    Contents under 400 characters and answers of 20 or fewer stay as they are, also where the function fails.
+    """
+
+    @F.pandas_udf("string")
+    def shorter(contents: pd.Series) -> pd.Series:
+        def one(content: str | None) -> str | None:
+            try:
+                found = (compress(question, content) or "").strip()
+            except Exception:  # the function is the caller's; whatever it raises, the content stays
+                return content
+            return found if len(found) > 20 else content
+
+        return contents.map(one)
+
+    picked = (F.col("rank") < first) & (F.length("content") >= least)
+    done = chunks.where(picked).withColumn("short", shorter("content"))
+    changed = ~F.col("short").eqNullSafe(F.col("content"))
+    done = done.withColumn("context_header", F.when(changed, F.concat(F.coalesce("context_header", F.lit("")), F.lit(" [compressed]"))).otherwise(F.col("context_header")))
+    return chunks.where(~F.coalesce(picked, F.lit(False))).unionByName(done.withColumn("content", F.col("short")).drop("short"))
+
+
+def faithfulness(answers: DataFrame, least: float = 0.5) -> DataFrame:
+    """answers (question, context, answer) with grounded and unsupported: identifiers of the answer that its context lacks.
+
+    A deterministic stand-in for a model's judgement: an answer is faithful if at least half of its identifiers of four or
+    more characters, or none of them, stand in the first 2,000 characters of the context or in the question.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.substring("answer", 1, 1000), F.lit(r"[A-Za-z_]\w*(?:[A-Z_]\w*)"), F.lit(0)))
+    named = F.filter(words, lambda w: F.length(w) > 3)
+    known = F.concat(F.substring("context", 1, 2000), F.lit(" "), F.col("question"))
+    missing = F.filter(named, lambda w: ~F.contains(known, w))
+    share = 1 - F.size(missing) / F.greatest(F.size(named), F.lit(1))
+    return answers.withColumn("unsupported", missing).withColumn("confidence", share).withColumn("is_faithful", share >= least)

@@ -32,10 +32,24 @@ def test_correction(spark):
     assert one(spark, T.correct_query(F.lit("where is getUserById and order_total")))["symbols"] == ["getUserById", "order_total"]
 
 
+def test_correction_switches_and_changes(spark):
+    text = F.lit("Getting the OrderRepositry svc!, user_id via ledgerManagr")
+    got = one(spark, T.correct_query(text))
+    assert got["corrected"] == "Getting the Order repository service user identifier via ledger Managr".replace("Order repository", "Order Repository")
+    assert got["changes"] == ["identifier split", "'Repositry' → 'Repository'", "'svc' → 'service'", "'id' → 'identifier'"]
+    off = one(spark, T.correct_query(text, spelling=False, abbreviations=False, identifiers=False))
+    assert off["changes"] == [] and not off["was_corrected"] and off["corrected"].startswith("Getting the OrderRepositry svc")
+    df = spark.createDataFrame([("call ledgrmanager now",)], "t string")
+    df = df.withColumn("near", T.nearest_names(["LedgerManager", "other"])(T.normalise_symbols(F.col("t"))))
+    got = df.select(T.correct_query(F.col("t"), F.col("near")).alias("q")).first()["q"]
+    assert got["corrected"] == "call LedgerManager now" and got["changes"] == ["'ledgrmanager' → 'LedgerManager' (codebase symbol)"]
+    assert one(spark, T.expand_abbreviations(F.lit("svc) (svc"))) == "service (svc"
+
+
 def test_fuzzy_match(spark):
-    match = T.fuzzy_match(["authentication", "repository"])
+    match = T.fuzzy_match(["Authentication", "repository"])
     rows = spark.createDataFrame([("authentcation",), ("short",), (None,)], "w string").select(match("w").alias("x")).collect()
-    assert [r["x"] for r in rows] == ["authentication", "short", None]
+    assert [r["x"] for r in rows] == ["Authentication", "short", None]
 
 
 def test_rough_tokens_and_terms(spark):
