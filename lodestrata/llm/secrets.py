@@ -48,6 +48,8 @@ DIGEST_KEYS = "digest checksum sha sha1 sha256 sha512 md5 etag hash uuid guid co
 
 _pem = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _pem_end = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Of a key without an end: the lines of its armour and its text.
+_pem_rest = re.compile(r"[^\r\n]*(?:[\r\n]+[ \t\"'+#/*]*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/=]+|[A-Za-z\-]+: [^\r\n]*|)[\\n\"',+; \t]*(?=[\r\n]|\Z))*")
 _url = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/:@\"'`]*:([^\s/@\"'`]+)@[\w.\-]+")
 _hook = re.compile(r"https?://hooks\.[\w.\-]+/services/\w+/\w+/(\w{16,})")
 _jwt = re.compile(r"eyJ[\w\-]{8,}\.eyJ?[\w\-]{8,}\.[\w\-]{8,}")
@@ -73,12 +75,15 @@ _open_key = re.compile(r"([A-Za-z_][\w.\-]*)[\"'\]]{0,2}\s*(?::=|=>|=|:|\()\s*(?
 _words = re.compile(r"[A-Z]?[a-zß-ÿ]+|[A-Z]+(?![a-z])|[0-9]+")
 _alpha = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _run = re.compile(r"[A-Za-z0-9+/_\-]{3,}")
-_letters = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{3,40}(?![A-Za-z0-9])")
-#: What a chunk must hold somewhere to have a secret at all: a credential's name, a form above, or a long mixed token.
+_letters = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])")
+#: What every line with a secret holds, if not the line before it: a credential's name, one of the forms above, or a run of
+#: mixed characters as long as a residual must be. Lines without any of these pass no rule below, so nothing is lost.
 _anything = re.compile(
-    r"(?i:pass|pwd|secret|token|key|cred|auth|dsn|login|pem|kennwort|contrase|clave|bearer|basic )|-----BEGIN|://[^\s/:@]*:[^\s/@]+@|eyJ|AK?SIA|/services/"
-    r"|[A-Za-z0-9_\-+/]{16,}"
+    r"(?i:pass|pwd|secret|token|key|cred|auth|dsn|login|pem|kennwort|contrase|clave|bearer|basic|sig(?:nature)?=)|-----BEGIN|://[^\s/:@\"'`]*:[^\s/@]+@|/services/|eyJ|A[KS]IA"
+    r"|(?<![\w+/=.\-])(?=[\w+/=.\-]{14})(?=[\w+/=.\-]*[0-9])(?=[\w+/=.\-]*[A-Z])[\w+/=.\-]*[a-z]"
 )
+#: The forms that give a secret away wherever they stand, in code, comments and commands.
+_forms = (_url, _hook, _query)
 UNQUOTED = {"yaml", "yml", "properties", "env", "sh", "bash", "md", "ini", "cfg", "toml", "conf", "txt", "markdown", "rst", "envrc"}
 
 
@@ -219,12 +224,12 @@ def find(content: str, path: str | None, segmenter: Segmenter) -> list[tuple[int
         key_block = _pem.search(line)
         if key_block:
             stop = _pem_end.search(content, start + key_block.end())
-            stop = stop.end() if stop else len(content)
+            stop = stop.end() if stop else _pem_rest.match(content, start + key_block.end()).end()
             found.append((number, start + key_block.start(), stop))
             closed = stop
             before, joined = line, False
             continue
-        if _anything.search(line):
+        if _anything.search(line) or line.lstrip(" \t([+")[:1] in ('"', "'", "`") and (opened := _open_key.search(before)) and key_kind(opened[1]) in ("credential", "phrase"):
             carried = (joined and re.match(r"\s*[+.]?\s*[\"'`]", line)) or (
                 re.match(r"\s*[+.]\s*[\"'`]", line) and re.search(r"[^\"'`\s][\"'`]\s*$", before)
             )
@@ -276,6 +281,8 @@ def _line_spans(line: str, before: str, lines: list[str], number: int, unquoted:
             spans.append((a + inner.start(2), b))
     if spans:
         return spans
+    if spans := _bare_forms(line, segmenter):
+        return spans
     text, offset = line, 0
     if comment:
         text, offset = comment[1], comment.start(1)
@@ -301,6 +308,17 @@ def _line_spans(line: str, before: str, lines: list[str], number: int, unquoted:
     return spans
 
 
+def _bare_forms(line: str, segmenter: Segmenter) -> list[tuple[int, int]]:
+    """Addresses with a password, web hooks, signed queries and tokens that stand in a line without quotes or a key."""
+    for form, mark in zip(_forms, ("://", "/services/", "=")):
+        for m in form.finditer(line) if mark in line else ():
+            value = m[1].strip("'\"")
+            if not _place.fullmatch(value) and "$" not in value and "{" not in value and (form is not _query or segmenter.residual(value) > 3):
+                return [m.span(1)]
+    found = "eyJ" in line and _jwt.search(line) or "IA" in line and _aws.search(line)
+    return [found.span()] if found else []
+
+
 def evidence(run: str) -> list[str]:
     """Words that a run of text vouches for: none beside digits, none out of a literal of mixed case and digits."""
     if len(run) >= 12 and re.search(r"[0-9]", run) and re.search(r"[a-z]", run) and re.search(r"[A-Z]", run):
@@ -308,16 +326,37 @@ def evidence(run: str) -> list[str]:
     return [w.lower() for token in _letters.findall(run) for w in _alpha.findall(token) if len(w) > 2]
 
 
+#: A quoted literal of one word, and what is assigned under any name: values, among which secrets stand.
+_literal = re.compile(r"\"[^\"\s\\]{6,}\"|'[^'\s\\]{6,}'|`[^`\s\\]{6,}`")
+_credential_name = re.compile(r"(?i)(?:pass|pwd|secret|token|key|cred|auth|dsn|login|pem|kennwort|contrase|clave|bearer|basic)[\w\-]*[\"']?\s*(?:[:=(,]|\bis\b|\s)\s*[^\r\n]*")
+
+
+def vouching(content: str) -> str:
+    """A content without what may be a secret itself: literals of one word, and what follows a credential's name in a line.
+
+    So a secret does not become a word of the dictionary, however many chunks hold it.
+    """
+    return _literal.sub(" ", _credential_name.sub(" ", content))
+
+
 def dictionary(df: DataFrame, words: int = DICTIONARY_WORDS, least: int = LEAST_CHUNKS, share: float = WORD_SHARE) -> dict[str, int]:
     """Words of all contents by the number of chunks that hold them, the most frequent ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         split: dict[str, list[str]] = {}
+        seen: set[int] = set()
         for batch in batches:
             for content in batch.column(0).to_pylist():
+                # a content counts once a task, however often it is copied
+                name = hash(content)
+                if not content or name in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
                 own = set()
-                for run in set(_run.findall(content or "")):
+                for run in set(_run.findall(vouching(content))):
                     parts = split.get(run)
                     if parts is None:
                         if len(split) > 300_000:
