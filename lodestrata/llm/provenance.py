@@ -50,6 +50,8 @@ _claim = re.compile(
     r"|(?:copied|imported|taken|vendored)(?: verbatim)? from ([\w\-]+) (?:release|version|v)\s*\d|\bupstream: ([\w\-]+) (?:release|version|v)\s*\d"
 )
 _release = re.compile(r"(?:^|/)([A-Za-z][A-Za-z_]*(?:-[A-Za-z]+)*)-v?\d+\.\d+(?:\.\d+)*/")
+# fixed values: folders that hold what others wrote
+_THIRD_PARTY = "vendor vendors vendored third_party third-party thirdparty 3rdparty external externals extern deps dependencies contrib bundled".split()
 _comment = re.compile(r"\s*(?://|#|--|/\*|\*|<!--|;|%|\"\"\"|''')")
 #: Go's rule: a line of its own on any line.
 _marker = re.compile(r"(?://|#) Code generated .* DO NOT EDIT\.")
@@ -164,18 +166,26 @@ def _facts(df: DataFrame) -> DataFrame:
 
 
 def _seeds(facts: DataFrame) -> DataFrame:
-    """n and project of files with a claim: in the header, or by a folder named after a project or its release."""
-    slim = facts.select("n", "project", "relative_path")
+    """n and project of files with a claim: in the header, by a folder that bears a release of a project, or by a folder of
+    its name, within a repository where a header or a release names the project, or below a folder for third parties.
+
+    A folder that only bears the name of some project of another repository is no claim.
+    """
+    slim = facts.select("n", "repo_id", "project", "relative_path")
     release = F.lower(F.regexp_extract("relative_path", _release.pattern, 1))
     named = slim.withColumn("release", release)
     names = (
-        named.select(F.explode(F.array("project", F.when(F.col("release") != "", F.col("release")))).alias("name"))
+        named.select("repo_id", F.explode(F.array("project", F.when(F.col("release") != "", F.col("release")))).alias("name"))
         .where("name IS NOT NULL").distinct()
     )
-    folders = slim.where("project IS NULL").select(
-        "n", F.explode(F.transform(F.split("relative_path", "/"), lambda x: F.lower(F.regexp_replace(x, r"-v?\d+(\.\d+)+$", "")))).alias("name")
-    )
-    by_folder = folders.join(names, "name").groupBy("n").agg(F.min("name").alias("project"))
+    plain = F.transform(F.split(F.lower("relative_path"), "/"), lambda x: F.regexp_replace(x, r"-v?\d+(\.\d+)+$", ""))
+    folders = slim.where("project IS NULL").select("n", "repo_id", F.posexplode(plain).alias("at", "name"), plain.alias("all"))
+    above = F.when(F.col("at") > 0, F.get("all", F.col("at") - 1))
+    folders = folders.select("n", "repo_id", "name", F.coalesce(above.isin(_THIRD_PARTY), F.lit(False)).alias("apart"))
+    # a project is named once here and once for all repositories
+    inside = folders.where("not apart").join(names, ["repo_id", "name"])
+    apart = folders.where("apart").join(names.select("name").distinct(), "name")
+    by_folder = inside.select("n", "name").unionByName(apart.select("n", "name")).groupBy("n").agg(F.min("name").alias("project"))
     return slim.where("project IS NOT NULL").select("n", "project").unionByName(by_folder)
 
 

@@ -49,3 +49,12 @@ def test_long_heads():
     assert provenance.header_claims([*block, "import os"]) == (False, "quill")
     assert provenance.header_claims([*licence, "package a", *["x := 1"] * 30, "// generated by hand-run tool 1.2"]) == (False, None)
     assert provenance.header_claims(["x = 1"] * 30 + ['s = "// Code generated by x. DO NOT EDIT."']) == (False, None)
+
+
+def test_folders_named_like_a_project(spark):
+    """A claim on a project in one repository makes no stranger's folder of that name third-party."""
+    own = lambda k: CODE.replace("rare", f"own{k}").replace("call", f"made{k}")
+    rows = [("a", "lib/x.py", "# Copied from utils release 1.0\n" + own(0)), ("a", "lib/utils/y.py", own(1))]
+    rows += [(f"r{k}", f"app/utils/z{k}.py", own(k + 2)) for k in range(4)] + [("s", "third_party/utils/w.py", own(9)), ("t", "vendor/mine/v.py", own(10)), ("u", "quill-1.2.3/q.py", own(11))]
+    got = labels(spark, rows)
+    assert {k for k, v in got.items() if v} == {"lib/x.py", "lib/utils/y.py", "third_party/utils/w.py", "quill-1.2.3/q.py"}
