@@ -43,7 +43,7 @@ def simple_tokens(text: Column) -> Column:
     """Distinct tokens for reranking: whole words in lower case, and their camel parts where there are several."""
 
     def parts(word: Column) -> Column:
-        pieces = F.transform(all_matches(word, "[A-Z]?[a-z0-9_]+|[A-Z]+(?![a-z])"), lambda x: F.lower(x))
+        pieces = F.split(F.lower(F.regexp_replace(word, "([a-z])([A-Z])", "$1 $2")), " ")
         return F.concat(F.array(F.lower(word)), F.when(F.size(pieces) > 1, pieces).otherwise(F.array().cast("array<string>")))
 
     return F.array_distinct(F.flatten(F.transform(all_matches(text, "[a-zA-Z0-9_]+"), parts)))

@@ -70,7 +70,9 @@ def pack(ranked: DataFrame, by: str = "query_id", text: str = "content", room: C
     kept = summed.withColumn("over", over).where((F.col("over") == 0) | ((F.col("over") == 1) & ~fits & (left > LEAST_ROOM)))
     kept = kept.select(by, "rank", "tokens", F.when(F.col("over") > 0, left).alias("left"))
     cut = F.concat(F.substr(F.col(text), F.lit(1), (F.col("left") * 3).cast("int")), F.lit(TRUNCATED))
-    return ranked.join(kept, [by, "rank"]).withColumn("packed", F.when(F.col("left").isNull(), F.col(text)).otherwise(cut)).drop("left")
+    kept = kept.withColumnsRenamed({by: "_by", "rank": "_rank"})
+    found = ranked.join(kept, F.col(by).eqNullSafe(F.col("_by")) & (F.col("rank") == F.col("_rank"))).drop("_by", "_rank")
+    return found.withColumn("packed", F.when(F.col("left").isNull(), F.col(text)).otherwise(cut)).drop("left")
 
 
 def format_chunk(path: Column, first: Column, last: Column, kind: Column, name: Column, language: Column, body: Column) -> Column:

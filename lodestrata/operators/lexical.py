@@ -132,10 +132,8 @@ def fetch_size(k: int) -> int:
     return max(8 * k, 20)
 
 
-def padded(index: Index, terms: DataFrame, k: int) -> DataFrame:
-    """As search, but documents of score 0 follow in key order where fewer than k hold a term."""
-    found = search(index, terms, k)
-    asked = terms.select("query_id").distinct()
+def with_rest(index: Index, found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """found (query_id, doc_id, score, rank) with documents of score 0 behind, in key order, up to k a query of asked."""
     have = found.groupBy("query_id").agg(F.count("*").alias("have"))
     # the first 2k keys hold at least k without a score, as at most k have one
     first = index.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
@@ -144,7 +142,12 @@ def padded(index: Index, terms: DataFrame, k: int) -> DataFrame:
     rest = missing.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(have, "query_id", "left")
     rest = rest.withColumn("rank", (F.col("place") - 1 + F.coalesce("have", F.lit(0))).cast("int"))
     rest = rest.where(F.col("rank") < k).select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank")
-    return found.unionByName(rest)
+    return found.select("query_id", "doc_id", "score", "rank").unionByName(rest)
+
+
+def padded(index: Index, terms: DataFrame, k: int) -> DataFrame:
+    """As search, but documents of score 0 follow in key order where fewer than k hold a term."""
+    return with_rest(index, search(index, terms, k), terms.select("query_id").distinct(), k)
 
 
 def statistics(index: Index) -> DataFrame:

@@ -87,8 +87,10 @@ def grep_windows(matches: DataFrame, files: DataFrame, path: str = "file_path",
     """Chunks of lines around matches, one per window start; name lists its terms in order, without those already in it."""
     start = F.greatest(F.lit(0), F.col("line_number") - WINDOW_BEFORE - 1)
     by_window = matches.withColumn("from_line", start).groupBy(path, "from_line").agg(
-        F.min("line_number").alias("line_number"), F.sort_array(F.collect_list(F.struct("term_ord", "line_number", "term"))).alias("hits")
+        F.sort_array(F.collect_list(F.struct("term_ord", "line_number", "term"))).alias("hits")
     )
+    # the first match, by term and line, sets where the window ends
+    by_window = by_window.withColumn("term_ord", F.col("hits")[0]["term_ord"]).withColumn("line_number", F.col("hits")[0]["line_number"])
     name = F.aggregate(
         F.transform("hits", lambda h: h["term"]),
         F.lit(""),
@@ -99,7 +101,7 @@ def grep_windows(matches: DataFrame, files: DataFrame, path: str = "file_path",
     return joined.select(
         F.concat(F.col(path), F.lit(":"), (F.col("from_line") + 1).cast("string"), F.lit("-"), stop.cast("string"), F.lit(":grep")).alias("id"),
         path, (F.col("from_line") + 1).alias("start_line"), stop.alias("end_line"), name.alias("name"), F.lit(GREP_SCORE).alias("score"),
-        F.array_join(F.slice("rows", F.col("from_line") + 1, stop - F.col("from_line")), "\n").alias("content"),
+        F.array_join(F.slice("rows", F.col("from_line") + 1, stop - F.col("from_line")), "\n").alias("content"), "term_ord", "line_number",
     )
 
 
@@ -107,7 +109,8 @@ def merge_spans(literal: DataFrame, semantic: DataFrame, hints: list[str] | None
     """Rows of (file_path, start_line, id, score, ord) of both lists, one per file and bucket of 15 lines.
 
     Of literal rows the highest score counts, the first on ties; every semantic row after it, or after the first semantic
-    one, adds half its score, and the last semantic row gives the payload. Each hint in the path adds 0.3.
+    one, adds half its score, and the last semantic row gives the payload. Each hint in the path adds 0.3. ord (of any type
+    that sorts, the same in both lists) comes out as a struct that sorts what a literal row began before the rest.
     """
     both = literal.withColumn("literal", F.lit(True)).unionByName(semantic.withColumn("literal", F.lit(False)), allowMissingColumns=True)
     both = both.withColumn("bucket", (F.floor(F.col("start_line") / BUCKET) * BUCKET).cast("int"))
@@ -115,7 +118,8 @@ def merge_spans(literal: DataFrame, semantic: DataFrame, hints: list[str] | None
     g, s = F.col("literal"), ~F.col("literal")
     merged = both.groupBy("file_path", "bucket").agg(
         F.max(F.when(g, F.col("score"))).alias("best"),
-        F.max_by(F.when(g, row), F.when(g, F.struct(F.col("score"), -F.col("ord")))).alias("from_literal"),
+        F.min_by(F.when(g, row), F.when(g, F.struct(-F.col("score"), F.col("ord")))).alias("from_literal"),
+        F.min(F.struct((~g).alias("late"), F.col("ord").alias("at"))).alias("ord"),
         F.sum(F.when(s, F.col("score"))).alias("total"),
         F.min_by(F.when(s, F.col("score")), F.when(s, F.col("ord"))).alias("first"),
         F.max_by(F.when(s, row), F.when(s, F.col("ord"))).alias("from_semantic"),
@@ -124,7 +128,7 @@ def merge_spans(literal: DataFrame, semantic: DataFrame, hints: list[str] | None
     base = F.when(F.col("best").isNotNull(), F.col("best") + 0.5 * total).otherwise(F.col("first") + 0.5 * (total - F.col("first")))
     bonus = sum((F.when(F.contains(F.lower("file_path"), F.lit(h.lower())), 0.3).otherwise(0.0) for h in hints or []), F.lit(0.0))
     kept = F.coalesce("from_semantic", "from_literal")
-    return merged.select("file_path", "bucket", kept["id"].alias("id"), kept["start_line"].alias("start_line"), (base + bonus).alias("score"))
+    return merged.select("file_path", "bucket", kept["id"].alias("id"), kept["start_line"].alias("start_line"), (base + bonus).alias("score"), "ord")
 
 
 def rerank(chunks: DataFrame, query: str, terms: list[str], top_k: int, task: str = "general", least_overlap: float = 0.05) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, lexical, retrieval, scan, store, vectors
-from ..sources.tables import table
+from ..operators import chunking, context, lexical, pipeline, retrieval, scan, store, vectors
+from ..session import drop_table, materialize
+from ..sources.tables import table, version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The eight benchmark questions.
+# fixed values: the eight benchmark questions
 QUESTIONS = [
     "authenticate user password jwt",
     "database connection pool retry",
@@ -43,37 +44,77 @@ def _asked(spark: SparkSession) -> DataFrame:
     return lexical.query_terms(spark, QUESTIONS)
 
 
+def _docs_index(spark: SparkSession, folder: str) -> lexical.Index:
+    return lexical.warm_index(_docs(spark, folder), f"{folder}/documents", version(spark, folder, "documents"))
+
+
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest chunks, with paths that tell repositories apart."""
+    return _chunks(spark, folder).withColumn("file_path", F.concat_ws("/", "repo_id", "file_path"))
+
+
+def _chunk_index(spark: SparkSession, folder: str) -> lexical.Index:
+    return lexical.warm_index(_chunks(spark, folder), f"{folder}/chunks", version(spark, folder, "chunks"), "ord", "content")
+
+
+_vectors: dict[tuple, tuple] = {}
+
+
+def _chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """ord, embedding of the newest chunks, computed by the first query of an application that needs them."""
+    at, now = (spark.sparkContext.applicationId, folder), version(spark, folder, "chunks")
+    known = _vectors.get(at)
+    if known is None or known[0] != now:
+        if known is not None:
+            drop_table(known[1])
+        chunks = _chunks(spark, folder)
+        _vectors[at] = (now, materialize(chunks.select("ord", vectors.embed(chunking.embedding_text(chunks)).alias("embedding")), "embeddings"))
+    return _vectors[at][1]
+
+
+def _corpus(spark: SparkSession, folder: str) -> pipeline.Corpus:
+    files = _files(spark, folder).select(F.concat_ws("/", "repo_id", "relative_path").alias("file_path"), "content")
+    return pipeline.Corpus(files, _numbered(spark, folder), _chunk_index(spark, folder), _chunk_vectors(spark, folder), lambda q: vectors.hashed_embeddings([q])[0].tolist())
+
+
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexical.search(_docs_index(spark, folder), _asked(spark), 5)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def bm25_cold(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without a stored index: the asked terms are counted in one pass."""
     found = lexical.search(lexical.build_index(_docs(spark, folder)), _asked(spark), 5)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_chunks_topk(spark: SparkSession, folder: str) -> DataFrame:
-    index = lexical.build_index(_chunks(spark, folder), "id", "content")
-    found = lexical.search(index, lexical.query_terms(spark, ["retry ledger cache", "parse token stream", "getUserById order"]), 5)
-    return found.select("query_id", F.col("doc_id").alias("id"), F.round("score", 6).alias("score"), "rank")
+    terms = lexical.query_terms(spark, ["retry ledger cache", "parse token stream", "getUserById order"])
+    found = lexical.search(_chunk_index(spark, folder), terms, 5).withColumnRenamed("doc_id", "ord")
+    named = _chunks(spark, folder).select("ord", "id").join(F.broadcast(found), "ord")
+    return named.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    stats = lexical.statistics(lexical.build_index(_docs(spark, folder)))
+    stats = lexical.statistics(_docs_index(spark, folder))
     return stats.select("n", F.round("avgdl", 6).alias("avgdl"), "tokens", "terms")
 
 
 def bm25_document_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.build_index(_docs(spark, folder)).dfs.select("term", "df")
+    return _docs_index(spark, folder).dfs.select("term", "df")
 
 
 def bm25_padded(spark: SparkSession, folder: str) -> DataFrame:
-    index = lexical.build_index(_docs(spark, folder))
-    found = lexical.padded(index, lexical.query_terms(spark, ["zzqx pump", "qqqqxx"]), lexical.fetch_size(2))
+    found = lexical.padded(_docs_index(spark, folder), lexical.query_terms(spark, ["zzqx pump", "qqqqxx"]), lexical.fetch_size(2))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    index = lexical.build_index(_docs(spark, folder))
-    one = lexical.search(index, lexical.query_terms(spark, ["ledger meter"]), 40)
-    two = lexical.search(index, lexical.query_terms(spark, ["pump ledger cache"]), 40)
-    found = retrieval.hybrid(one, two, 10)
+    both = lexical.search(_docs_index(spark, folder), lexical.query_terms(spark, ["ledger meter", "pump ledger cache"]), 40)
+    weight = F.when(F.col("query_id") == 0, retrieval.VECTOR_WEIGHT).otherwise(retrieval.LEXICAL_WEIGHT)
+    # both lists of the request come from one search
+    fused = both.select("doc_id", (lexical.rrf(F.col("rank")) * weight).alias("part")).groupBy("doc_id").agg(F.sum("part").alias("score"))
+    found = lexical.top_k(fused.withColumn("query_id", F.lit(0)), 10, best=F.round("score", 12))
     return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -85,11 +126,35 @@ def file_scoped_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+#: A request as a planner might give it.
+REQUEST = pipeline.Plan(
+    "where is the ledger retried when the cache fails", "ledger retry cache", ["ledger", "retry"], task="explain", literal_terms=["retryLedger"],
+    variants=["ledger retry cache", "pump ledger", "meter cache"], hypothetical_answer="def retry_ledger(cache):\n    return ledger.retry(cache)",
+)
+
+
 def multi_strategy(spark: SparkSession, folder: str) -> DataFrame:
-    index = lexical.build_index(_docs(spark, folder))
-    lists = [lexical.search(index, lexical.query_terms(spark, [q]), 24) for q in ("ledger meter", "pump ledger", "cache retry", "meter")]
-    found = retrieval.multi_strategy(lists[0], lists[1:3], lists[3], None, 4)
-    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    scored = pipeline.multi_strategy_scores(_corpus(spark, folder), REQUEST, 4).withColumn("query_id", F.lit(0))
+    kept = retrieval.cut_low(scored.withColumn("score", F.round("score", 4)), 4)
+    return kept.select("doc_id", "score")
+
+
+def multi_strategy_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    found = pipeline.rag_chunks(_corpus(spark, folder), REQUEST, 4)
+    return found.select("id", "score", "rank")
+
+
+def pipeline_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    _, found = pipeline.run_pipeline(_corpus(spark, folder), PIPELINE_QUESTION, 5)
+    return found.select("id", "chunk_type", "start_line", F.round("score", 3).alias("score"), "rank")
+
+
+def pipeline_context(spark: SparkSession, folder: str) -> DataFrame:
+    plan, found = pipeline.run_pipeline(_corpus(spark, folder), PIPELINE_QUESTION, 5)
+    return pipeline.prompt_of(found, plan).select("context", "sources", "user", "max_tokens", "tokens")
+
+
+PIPELINE_QUESTION = "where does ledger retry the cache shipment"
 
 
 def percentile_cut(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,18 +185,22 @@ def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def hashed_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _chunks(spark, folder)
-    return chunks.select("id", vectors.embed(chunking.embedding_text(chunks)).alias("embedding"))
+    found = chunks.select("id", F.posexplode(vectors.embed(chunking.embedding_text(chunks))).alias("place", "value"))
+    return found.where("value <> 0").select("id", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 def hybrid_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder).withColumn("n", F.col("ord"))
-    index = lexical.build_index(chunks, "n", "content")
-    questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "n bigint, query string")
-    asked = questions.select((-F.col("n") - 1).alias("n"), vectors.embed("query").alias("embedding"))
-    rows = chunks.select("n", vectors.embed(chunking.embedding_text(chunks)).alias("embedding"))
-    near = vectors.cosine_top_k(asked, rows, 40, key="n").select((-F.col("query_id") - 1).cast("int").alias("query_id"), F.col("n").alias("doc_id"), "rank")
-    found = retrieval.hybrid(near, lexical.search(index, _asked(spark), 40).select("query_id", "doc_id", "rank"), 5)
-    return found.join(chunks.select(F.col("n").alias("doc_id"), "id"), "doc_id").select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+    corpus = _corpus(spark, folder)
+    near = pipeline._near(corpus, dict(enumerate(QUESTIONS)), 40)
+    found = retrieval.hybrid(near, lexical.search(corpus.index, _asked(spark), 40).select("query_id", "doc_id", "rank"), 5)
+    named = corpus.chunks.select(F.col("ord").alias("doc_id"), "id").join(F.broadcast(found), "doc_id")
+    return named.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+def vector_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    found = vectors.VectorIndex(rows).search(rows.where("vec_id % 20 = 0"), 4)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def scan_selected(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,6 +343,11 @@ def grep_windows(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.grep_windows(found, files).select("id", "start_line", "end_line", "name", F.sha1("content").alias("sha1"))
 
 
+def plan_text(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    return scan.format_analysis(scan.plan_areas(files), files)
+
+
 def _spans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = _chunks(spark, folder).select("file_path", "start_line", "id", ((F.col("ord") % 97) / 97.0).alias("score"), "ord")
     return rows.where("ord % 3 = 0"), rows.where("ord % 3 <> 0")
@@ -301,9 +375,13 @@ def packed_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def built_context(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.search(lexical.build_index(_docs(spark, folder)), _asked(spark), 5)
-    ranked = found.join(_docs(spark, folder), "doc_id").select("query_id", "rank", F.col("text").alias("content"), F.col("source").alias("file_path"))
-    return context.build_context(ranked, QUESTIONS[0])
+    found = lexical.search(_docs_index(spark, folder), _asked(spark), 5)
+    questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, query string")
+    ranked = _docs(spark, folder).join(F.broadcast(found), "doc_id").join(F.broadcast(questions), "query_id").select(
+        "query_id", "query", "rank", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(T.lines(F.col("text"))).alias("end_line"),
+        F.lit("block").alias("chunk_type"), F.col("doc_id").cast("string").alias("name"), F.col("lang").alias("language"), F.col("text").alias("content"),
+    )
+    return context.build_context(ranked)
 
 
 def relevant_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -346,7 +424,8 @@ def rough_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def corrected_queries(spark: SparkSession, folder: str) -> DataFrame:
     turns = _history(spark, folder).where("content IS NOT NULL")
-    return turns.select("conv_id", "turn", T.correct_query(F.col("content")).alias("q")).select("conv_id", "turn", "q.corrected", "q.symbols", "q.was_corrected")
+    fixed = turns.select("conv_id", "turn", T.correct_query(F.col("content")).alias("q"))
+    return fixed.select("conv_id", "turn", "q.corrected", F.array_join("q.symbols", " ").alias("symbols"), F.array_join("q.changes", "; ").alias("changes"))
 
 
 def json_properties(spark: SparkSession, folder: str) -> DataFrame:
@@ -380,7 +459,7 @@ def nation_orders(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_chunks_topk, bm25_statistics, bm25_document_frequency, bm25_padded, rrf_fusion, file_scoped_retrieval, multi_strategy,
+        bm25_topk, bm25_cold, bm25_chunks_topk, bm25_statistics, bm25_document_frequency, bm25_padded, rrf_fusion, file_scoped_retrieval, multi_strategy, multi_strategy_chunks, pipeline_chunks, pipeline_context, vector_index, plan_text,
         percentile_cut, vector_topk, vector_filtered, cosine_pairs, hashed_embeddings, hybrid_chunks, scan_selected, scan_frontend, scan_ignored,
         scan_changed, scan_deleted, scan_diff, content_hashes, repo_ids, chunk_ids, folder_statistics, area_plan, repo_types, folder_batches,
         line_windows, window_chunks, python_chunks, chunked_files, embedding_texts, chunk_statistics, chunk_types, latest_chunks, upserted_chunks,
