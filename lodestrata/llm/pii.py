@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pii_model import KINDS, emissions, encode, viterbi
+from .pii_model import FRAME, KINDS, emissions, encode, viterbi
 
-#: Windows share so much that each character has 36 on either side in one of them, as far as the text goes.
-WINDOW, STRIDE, BATCH = 256, 184, 512
+#: Windows share so much that each character has 40 on either side in one of them, as far as the text goes.
+WINDOW, STRIDE, BATCH = 640, 560, 384
 
 _up = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _low = "a-zß-öø-ÿłśšžœ"
@@ -78,9 +78,9 @@ def tag_texts(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     distinct = sorted(jobs, key=len)
     for at in range(0, len(distinct), BATCH):
         part = distinct[at : at + BATCH]
-        ids = np.zeros((len(part[-1]), len(part)), np.uint8)
-        for column, window in enumerate(part):
-            ids[: len(window), column] = np.frombuffer(window, np.uint8)
+        ids = np.zeros((len(part), -(-len(part[-1]) // FRAME) * FRAME), np.uint8)
+        for row, window in enumerate(part):
+            ids[row, : len(window)] = np.frombuffer(window, np.uint8)
         tags = viterbi(p, emissions(p, ids))
         for column, window in enumerate(part):
             row = tags[: len(window), column].copy()
@@ -167,6 +167,7 @@ def checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int
 _phone_words = re.compile(r"(?i)\b(?:tel|tél|telefon\w*|tfno|teléfono|téléphone|phone|mobile|mobil|handy|fax|call|text|llamar|joignable|reach|appeler)\b")
 _id_words = re.compile(r"(?i)\b(?:ssn|social|passport|reisepass|insurance|identity|national_id|steuer|ausweis\w*|sécurité|nir|nif|nie|dni|tax|pasaporte|passeport|personal(?:ausweis)?)\b")
 _articles = {"der", "die", "das", "den", "dem", "the", "le", "la", "les", "el", "los", "las", "ein", "eine", "un", "une", "una", "in", "nach", "from", "this"}
+_particles = {"van", "von", "der", "den", "de", "la", "le", "las", "los", "du", "des", "da", "das", "do", "dos", "del", "della", "di", "el", "al", "bin", "ibn", "ben", "ter", "ten", "zu", "zur", "zum", "und", "y", "e", "d", "l", "af", "av"}
 _house = re.compile(rf"\b\d{{1,4}}[A-Za-z]?,? (?:[{_up}][{_low}]+ ){{0,2}}$")
 
 
@@ -198,18 +199,22 @@ def possible(text: str, a: int, b: int, kind: str) -> bool:
         return not re.fullmatch(r"[\d.]+", found[2])
     if kind in ("phone", "id_number") and len(set(re.findall(r"\d", value))) < 2:
         return False
+    if kind == "phone" and digits < 9 and value[0] != "+" and not _phone_words.search(text[max(0, a - 40) : a].rsplit("\n", 1)[-1]):
+        return False  # so short a number may be anything
     if kind == "phone":
         return 7 <= digits <= 15 and not re.sub(r"ext\.?", "", value).strip("0123456789 +()./-")
     if kind == "id_number":
         if value.isdigit() and len(value) not in (9, 10, 11, 13, 15):
             return bool(_id_words.search(text[max(0, a - 40) : a]))
+        if digits < 9 and not re.search(r"[A-Z]", value) and not _id_words.search(text[max(0, a - 40) : a]):
+            return False
         return (5 if re.search(r"[A-Z]", value) else 6) <= digits <= 15 and not re.search(r"[a-z]", value) and not re.search(r"[A-Z]{4,}", value)
     if kind == "address":
         return digits > 0 and bool(capitalised(value)) and len(value) > 8
     words = capitalised(value)
-    if words and words[0].lower() in _articles:
+    if words and words[0].lower() in _articles or any(w[0].islower() and w.lower() not in _particles for w in _word.findall(value)):
         return False
-    return len(words) >= 2 and digits == 0 and not re.search(r"[_(){}]", value) and len(value) <= 60
+    return len(words) >= 2 and digits == 0 and not re.search(r"[_(){}]", value)
 
 
 def find_personal(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

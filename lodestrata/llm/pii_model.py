@@ -1,4 +1,8 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: training by back-propagation and batched decoding."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy: training by back-propagation and batched decoding.
+
+Each step takes the embeddings of a frame of four characters and emits the tag scores of each of the four, so the
+recurrence is run a quarter as often as there are characters; the CRF runs over the characters themselves.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,8 @@ import numpy as np
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-EMBED, HIDDEN = 16, 32
+#: A step of the network reads a frame of so many characters, and gives the emissions of each of them.
+EMBED, HIDDEN, FRAME = 16, 40, 4
 
 
 def _classes() -> np.ndarray:
@@ -47,91 +52,107 @@ def encode(text: str) -> np.ndarray:
     return np.where(codes < 0x10000, _table[np.minimum(codes, 0xFFFF)], 4).astype(np.uint8)
 
 
-def start(seed: int = 7, embed: int = EMBED, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
+def start(seed: int = 7, embed: int = EMBED, hidden: int = HIDDEN, frame: int = FRAME) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
 
     def w(*shape: int) -> np.ndarray:
         return (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-    p = {"embed": w(CLASSES, embed) * 2, "out": w(2 * hidden, TAGS), "bias": np.zeros(TAGS, np.float32)}
+    wide, tags = frame * embed, frame * TAGS
+    p = {"embed": w(CLASSES, embed) * 2, "out": w(2 * hidden, tags), "bias": np.zeros(tags, np.float32), "near": w(wide, tags) * 0.1}
     p |= {"trans": np.zeros((TAGS, TAGS), np.float32), "first": np.zeros(TAGS, np.float32)}
     for d in "fb":
-        p |= {f"x{d}": w(embed, 4 * hidden), f"h{d}": w(hidden, 4 * hidden), f"b{d}": np.zeros(4 * hidden, np.float32)}
+        p |= {f"w{d}": w(wide + hidden, 4 * hidden), f"b{d}": np.zeros(4 * hidden, np.float32)}
         p[f"b{d}"][hidden : 2 * hidden] = 1
     return p
 
 
-def _run(p: dict, d: str, ids: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """Hidden states [T, B, H] in one direction. Gates: input, forget, output (by half tanh), candidate."""
-    h_size = p["h" + d].shape[0]
-    scale = np.ones(4 * h_size, np.float32)
-    scale[: 3 * h_size] = 0.5
-    projected = (p["embed"] @ p["x" + d] + p["b" + d]) * scale
-    recurrent = p["h" + d] * scale
-    steps, batch = ids.shape
-    h = np.zeros((batch, h_size), np.float32)
-    c = np.zeros((batch, h_size), np.float32)
-    out = np.empty((steps, batch, h_size), np.float32)
-    cache = []
-    for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        z = projected[ids[t]]
-        z += h @ recurrent
+def _frame(p: dict) -> int:
+    return p["near"].shape[0] // p["embed"].shape[1]
+
+
+def _halved(p: dict, d: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weights whose input, forget and output gates come by half a tanh."""
+    n = p["b" + d].shape[0] // 4
+    scale = np.ones(4 * n, np.float32)
+    scale[: 3 * n] = 0.5
+    return p["w" + d] * scale, p["b" + d] * scale
+
+
+def _run(p: dict, d: str, ids: np.ndarray, emit: np.ndarray | None, cache: list | None = None) -> None:
+    """One direction over ids [B, T], a frame of characters a step; its share of the emissions is added to emit.
+
+    Gates: input, forget, output, candidate. cache takes what the gradient needs.
+    """
+    embed, frame = p["embed"], _frame(p)
+    weights, shift = _halved(p, d)
+    n, batch = shift.shape[0] // 4, ids.shape[0]
+    wide = frame * embed.shape[1]
+    out = p["out"][:n] if d == "f" else p["out"][n:]
+    kind = weights.dtype
+    into = np.zeros((batch, wide + n), kind)
+    c, z, part = np.zeros((batch, n), kind), np.empty((batch, 4 * n), kind), np.empty((batch, n), kind)
+    steps = range(ids.shape[1] // frame)
+    for t in steps if d == "f" else reversed(steps):
+        into[:, :wide] = embed[ids[:, t * frame : (t + 1) * frame]].reshape(batch, wide)
+        np.matmul(into, weights, out=z)
+        z += shift
         np.tanh(z, out=z)
-        gates = z[:, : 3 * h_size]
+        gates = z[:, : 3 * n]
         gates *= 0.5
         gates += 0.5
-        i, f, o, g = z[:, :h_size], z[:, h_size : 2 * h_size], z[:, 2 * h_size : 3 * h_size], z[:, 3 * h_size :]
-        before = c
-        c = f * before + i * g
-        squashed = np.tanh(c)
-        if keep:
-            cache.append((t, h, before, z, squashed))
-        h = o * squashed
-        out[t] = h
-    return out, cache
+        before = c.copy() if cache is not None else None
+        c *= z[:, n : 2 * n]
+        np.multiply(z[:, :n], z[:, 3 * n :], out=part)
+        c += part
+        np.tanh(c, out=part)
+        if cache is not None:
+            cache.append((t, into.copy(), before, z.copy(), part.copy()))
+        np.multiply(part, z[:, 2 * n : 3 * n], out=into[:, wide:])
+        if d == "f" and emit is not None:
+            emit[t] += into[:, :wide] @ p["near"]
+        if emit is not None:
+            emit[t] += into[:, wide:] @ out
 
 
 def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
-    """[T, B, tags] of ids [T, B]."""
-    forward, _ = _run(p, "f", ids, False)
-    backward, _ = _run(p, "b", ids, False)
-    n = forward.shape[2]
-    return forward @ p["out"][:n] + backward @ p["out"][n:] + p["bias"]
+    """[T, B, tags] of ids [B, T]; T is a multiple of the frame."""
+    batch, steps = ids.shape
+    frame = _frame(p)
+    emit = np.empty((steps // frame, batch, frame * TAGS), p["out"].dtype)
+    emit[:] = p["bias"]
+    for d in "fb":
+        _run(p, d, ids, emit)
+    return emit.reshape(steps // frame, batch, frame, TAGS).swapaxes(1, 2).reshape(steps, batch, TAGS)
 
 
 def viterbi(p: dict, scores: np.ndarray) -> np.ndarray:
-    """Best tags [T, B]. Columns where O leads by more than transitions can make good are all O, and are not searched."""
-    trans = p["trans"]
-    gain = max(float(trans.max() - trans[0, 0]), 0.0) * 2 + max(float((p["first"] - p["first"][0]).max()), 0.0)
-    lead = scores[:, :, 0] - scores[:, :, 1:].max(2)
-    open_columns = np.flatnonzero(lead.min(0) <= gain)
-    tags = np.zeros(scores.shape[:2], np.int8)
-    if len(open_columns):
-        tags[:, open_columns] = _search(p, np.ascontiguousarray(scores[:, open_columns]))
-    return tags
+    """Best tags [T, B] of scores [T, B, tags].
 
-
-def _search(p: dict, scores: np.ndarray) -> np.ndarray:
+    The best scores are carried forward for all columns; only columns whose best path is not O throughout are traced back.
+    """
     steps, batch, n = scores.shape
-    best = scores[0] + p["first"]
-    back = np.empty(scores.shape, np.int8)
-    trans = p["trans"]
+    across = np.ascontiguousarray(scores.swapaxes(1, 2))
+    trans = p["trans"][:, :, None]
+    best = np.empty((steps, n, batch), scores.dtype)
+    best[0] = across[0] + p["first"][:, None]
+    path = np.empty((n, n, batch), scores.dtype)
     for t in range(1, steps):
-        # over the tag before, one at a time: wide operations instead of many short reductions
-        top = best[:, :1] + trans[0]
-        at = np.zeros((batch, n), np.int8)
-        for k in range(1, n):
-            path = best[:, k : k + 1] + trans[k]
-            better = path > top
-            at[better] = k
-            np.maximum(top, path, out=top)
-        back[t] = at
-        best = top + scores[t]
-    tags = np.empty((steps, batch), np.int8)
-    tags[-1] = best.argmax(1)
-    rows = np.arange(batch)
-    for t in range(steps - 1, 0, -1):
-        tags[t - 1] = back[t, rows, tags[t]]
+        np.add(best[t - 1][:, None, :], trans, out=path)
+        np.max(path, axis=0, out=best[t])
+        best[t] += across[t]
+    last = best[-1].argmax(0)
+    outside = across[:, 0].sum(0, dtype=np.float64) + p["first"][0] + (steps - 1) * float(p["trans"][0, 0])
+    # a sum of steps single-precision numbers is good to this
+    some = np.flatnonzero((last > 0) | (best[-1].max(0) > outside + 1e-3 * max(1, steps / 64)))
+    tags = np.zeros((steps, batch), np.int8)
+    if len(some):
+        back = p["trans"].T
+        tag = last[some]
+        tags[-1, some] = tag
+        for t in range(steps - 1, 0, -1):
+            tag = (best[t - 1][:, some].T + back[tag]).argmax(1)
+            tags[t - 1, some] = tag
     return tags
 
 
@@ -141,25 +162,33 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def loss_and_gradient(p: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
-    """Mean negative log likelihood a sequence, and its gradient. ids and tags are [T, B]."""
-    steps, batch = ids.shape
+    """Mean negative log likelihood a sequence, and its gradient. ids and tags are [B, T]."""
+    batch, steps = ids.shape
+    tags = tags.T
+    frame, wide, n = _frame(p), p["near"].shape[0], p["bf"].shape[0] // 4
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    states = {d: _run(p, d, ids, True) for d in "fb"}
-    n = p["hf"].shape[0]
-    both = np.concatenate([states["f"][0], states["b"][0]], 2)
-    scores = both @ p["out"] + p["bias"]
+    frames = steps // frame
+    emit = np.empty((frames, batch, frame * TAGS), p["out"].dtype)
+    emit[:] = p["bias"]
+    caches: dict[str, list] = {"f": [], "b": []}
+    for d in "fb":
+        _run(p, d, ids, emit, caches[d])
+    scores = emit.reshape(frames, batch, frame, TAGS).swapaxes(1, 2).reshape(steps, batch, TAGS)
     trans = p["trans"]
     alpha = np.empty_like(scores)
     alpha[0] = scores[0] + p["first"]
     for t in range(1, steps):
-        alpha[t] = _logsum(alpha[t - 1][:, :, None] + trans[None], 1) + scores[t]
+        alpha[t] = _through(alpha[t - 1], trans) + scores[t]
     total = _logsum(alpha[-1], 1)
     beta = np.zeros_like(scores)
     pair = np.zeros_like(trans)
     for t in range(steps - 2, -1, -1):
-        ahead = (scores[t + 1] + beta[t + 1])[:, None, :] + trans[None]
-        pair += np.exp(alpha[t][:, :, None] + ahead - total[:, None, None]).sum(0)
-        beta[t] = _logsum(ahead, 2)
+        ahead = scores[t + 1] + beta[t + 1]
+        beta[t] = _through(ahead, trans.T)
+        # sums over the batch of exp(alpha + trans + ahead - total), with both factors kept near 1
+        left, right = alpha[t] - alpha[t].max(1, keepdims=True), ahead - ahead.max(1, keepdims=True)
+        level = alpha[t].max(1) + ahead.max(1) - total
+        pair += (np.exp(left) * np.exp(level)[:, None]).T @ np.exp(right) * np.exp(trans)
     marginal = np.exp(alpha + beta - total[None, :, None])
     time, row = np.arange(steps)[:, None], np.arange(batch)[None]
     gold = scores[time, row, tags].sum() + trans[tags[:-1], tags[1:]].sum() + p["first"][tags[0]].sum()
@@ -169,40 +198,48 @@ def loss_and_gradient(p: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[float
     delta /= batch
     seen = np.zeros_like(trans)
     np.add.at(seen, (tags[:-1].ravel(), tags[1:].ravel()), 1)
-    g["trans"] = ((pair - seen) / batch).astype(np.float32)
+    g["trans"] = ((pair - seen) / batch).astype(trans.dtype)
     g["first"] = delta[0].sum(0)
-    g["out"] = np.tensordot(both, delta, ((0, 1), (0, 1)))
+    delta = delta.reshape(frames, frame, batch, TAGS).swapaxes(1, 2).reshape(frames, batch, frame * TAGS)
     g["bias"] = delta.sum((0, 1))
-    into = delta @ p["out"].T
-    embed = np.zeros_like(p["embed"])
-    for d, part in (("f", into[:, :, :n]), ("b", into[:, :, n:])):
-        dh = np.zeros((batch, n), np.float32)
-        dc = np.zeros((batch, n), np.float32)
-        dx = np.empty((steps, batch, 4 * n), np.float32)
-        for t, before_h, before_c, z, squashed in reversed(states[d][1]):
-            dh = dh + part[t]
+    d_input = np.zeros((frames, batch, wide), p["out"].dtype)
+    for d, out, at in (("f", p["out"][:n], slice(0, n)), ("b", p["out"][n:], slice(n, 2 * n))):
+        into_h = delta @ out.T
+        dh = np.zeros((batch, n), out.dtype)
+        dc = np.zeros((batch, n), out.dtype)
+        dz = np.empty((batch, 4 * n), out.dtype)
+        weights = p["w" + d]
+        for t, into, before_c, z, squashed in reversed(caches[d]):
             i, f, o, c = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
+            g["out"][at] += (squashed * o).T @ delta[t]
+            dh = dh + into_h[t]
             dc = dc + dh * o * (1 - squashed**2)
-            dz = dx[t]
             dz[:, :n] = dc * c * i * (1 - i)
             dz[:, n : 2 * n] = dc * before_c * f * (1 - f)
             dz[:, 2 * n : 3 * n] = dh * squashed * o * (1 - o)
             dz[:, 3 * n :] = dc * i * (1 - c**2)
-            g["h" + d] += before_h.T @ dz
-            dh = dz @ p["h" + d].T
+            g["w" + d] += into.T @ dz
+            g["b" + d] += dz.sum(0)
+            back = dz @ weights.T
+            d_input[t] += back[:, :wide]
+            dh = back[:, wide:]
             dc = dc * f
-        flat = dx.reshape(-1, 4 * n)
-        by_class = np.zeros((CLASSES, 4 * n), np.float32)
-        order = np.argsort(ids.ravel(), kind="stable")
-        classes, first = np.unique(ids.ravel()[order], return_index=True)
-        by_class[classes] = np.add.reduceat(flat[order], first, axis=0)
-        g["x" + d] = p["embed"].T @ by_class
-        g["b" + d] = by_class.sum(0)
-        embed += by_class @ p["x" + d].T
-    g["embed"] = embed
+            if d == "f":
+                g["near"] += into[:, :wide].T @ delta[t]
+                d_input[t] += delta[t] @ p["near"].T
+    flat = d_input.reshape(frames, batch, frame, -1).swapaxes(0, 1).reshape(batch * steps, -1)
+    order = np.argsort(ids.ravel(), kind="stable")
+    classes, first = np.unique(ids.ravel()[order], return_index=True)
+    g["embed"][classes] = np.add.reduceat(flat[order], first, axis=0)
     return float(loss), g
 
 
+def _through(before: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """log of the sum over the tag before, as a product of matrices."""
+    top = before.max(1, keepdims=True)
+    return np.log(np.exp(before - top) @ np.exp(trans) + 1e-30) + top
+
+
 class Adam:
     def __init__(self, p: dict, rate: float):
         self.rate, self.turn = rate, 0
