@@ -4,7 +4,8 @@ One bounded-quantifier regular expression is applied to a window of at most max_
 last piece, less its overlap, ended. Its alternatives are ordered by the strength of the boundary the piece ends at: a
 closing line at the left margin or a blank line before one, a blank line, the end of a nested block, the end of a
 statement, any line end, and last a cut between two characters. Each consumes as many lines as it can within the line
-limit; a lookback over the piece's last lines gives the next start. The fold over the windows uses only SQL array and
+limit; a lookback over the piece's last lines gives the next start. The text is cut into lines once, and the fold over the
+windows carries the number of the next line, so its time grows with the length of the text. It uses only SQL array and
 string functions, so it stays in the JVM and each row is cut where it lies.
 
 Defined results: null, empty and short contents give one piece (content unchanged, null for null); a line longer than
@@ -70,60 +71,69 @@ def is_oversized(text: Column, max_lines: int = MAX_LINES, max_chars: int = MAX_
     return (F.length(text) > max_chars) | (line_count(text) > max_lines)
 
 
-def _fold(text: Column, max_lines: int, max_chars: int, overlap: int) -> Column:
-    """Array of (at, size): the pieces of a text as 1-based offsets and lengths."""
+def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once: a one-element transform, as lambdas have no common subexpressions."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _units(text: Column, max_chars: int) -> Column:
+    """Lines with their ends; one that is longer than a piece in stretches of a piece's length, and its rest."""
+    lines = F.regexp_extract_all(text, F.lit(rf"{_LINE}|{_LAST}"), F.lit(0))
+
+    def cut(line: Column) -> Column:
+        stretches = F.regexp_extract_all(line, F.lit(rf"(?s).{{1,{max_chars}}}"), F.lit(0))
+        return F.when(F.length(line) > max_chars, stretches).otherwise(F.array(line))
+
+    return F.flatten(F.transform(lines, cut))
+
+
+def _fold(units: Column, max_lines: int, max_chars: int, overlap: int) -> Column:
+    """Array of (line, content): the pieces of a text, given as its units, and the lines before each.
+
+    The state is the number of the next unit, so a step costs what its window holds, wherever in the text it lies.
+    """
     within = piece_pattern(max_lines, overlap)
     closing = rest_pattern(max_lines) + "|" + within
-    total = F.length(text)
-    each_line = F.lit(_LINE)
-
-    def bind(value: Column, then: Callable[[Column], Column]) -> Column:
-        """then(value) with value computed once: a one-element transform, as lambdas have no common subexpressions."""
-        return F.transform(F.array(value), then)[0]
+    total = F.size(units)
 
     def advance(state: Column, piece: Column) -> Column:
-        size = F.length(piece)
-        stop = state["at"] + size
+        lines = F.regexp_extract_all(piece, F.lit(_LINE), F.lit(0))
+        ended = piece.rlike(r"[\n\r]\z")
+        # a piece that ends inside a line is one unit, or the text's last lines
+        return _bind(lines, lambda own: F.when(ended, after(state, piece, own, F.size(own))).otherwise(last(state, piece, F.size(own) + 1)))
+
+    def last(state: Column, piece: Column, used: Column) -> Column:
+        return state_of(state, piece, state["at"] + used, state["line"] + used - 1)
+
+    def after(state: Column, piece: Column, own: Column, used: Column) -> Column:
+        stop = state["at"] + used
         # the next line decides how many of the last lines still fit before it
-        ahead = F.length(F.regexp_extract(F.substr(text, stop, F.lit(max_chars)), rf"\A(?:{_LINE}|[^\n\r]*+)", 0))
-
-        def share(room: Column) -> Column:
-            lines = F.regexp_extract_all(F.substr(piece, size - room + 1), each_line, F.lit(0))
-            return bind(lines, lambda all_lines: bind(last(all_lines), keep))
-
-        def last(all_lines: Column) -> Column:
-            return F.array_join(F.slice(all_lines, F.greatest(F.size(all_lines) - overlap + 1, F.lit(1)), F.lit(max(overlap, 1))), "")
-
-        def keep(shared: Column) -> Column:
-            # the room may begin inside a line: only whole lines are shared, and never the whole piece
-            head = F.substr(piece, size - F.length(shared), F.lit(1))
-            first = F.length(F.regexp_extract(shared, rf"\A{_LINE}", 0))
-            return F.when((F.length(shared) < size) & head.isin("\n", "\r"), F.length(shared)).otherwise(
-                F.length(shared) - first
-            )
-
-        room = F.least(max_chars - ahead, size - 1)
-        back = F.when((room > 0) & piece.rlike(r"[\n\r]\z"), share(room)).otherwise(0)
-        return F.struct(
-            (stop - back).cast("int").alias("at"),
-            (stop > total).alias("done"),
-            F.concat(
-                state["found"], F.array(F.struct(state["at"].alias("at"), size.cast("int").alias("size")))
-            ).alias("found"),
-        )
+        room = F.least(max_chars - F.length(F.coalesce(F.get(units, stop), F.lit(""))), F.length(piece) - 1)
+        behind = F.reverse(F.slice(own, F.greatest(used - overlap + 1, F.lit(1)), F.lit(max(overlap, 1))))
+
+        def take(found: Column, line: Column) -> Column:
+            size = found["size"] + F.length(line)
+            fits = found["open"] & (size <= room)
+            return F.struct(F.when(fits, size).otherwise(found["size"]).alias("size"), (found["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+        none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(overlap > 0).alias("open"))
+        return _bind(F.aggregate(behind, none, take)["n"], lambda shared: state_of(state, piece, F.when(stop >= total, stop).otherwise(stop - shared), state["line"] + used - shared))
+
+    def state_of(state: Column, piece: Column, at: Column, line: Column) -> Column:
+        found = F.concat(state["found"], F.array(F.struct(state["line"].alias("line"), piece.alias("content"))))
+        return F.struct(at.cast("int").alias("at"), line.cast("int").alias("line"), found.alias("found"))
 
     def step(state: Column, _: Column) -> Column:
-        window = F.substr(text, state["at"], F.lit(max_chars))
-        piece = F.when(state["at"] + max_chars > total, F.regexp_extract(window, closing, 0)).otherwise(
-            F.regexp_extract(window, within, 0)
-        )
-        return F.when(state["done"], state).otherwise(bind(piece, lambda found: advance(state, found)))
+        joined = F.array_join(F.slice(units, state["at"] + 1, F.lit(max_lines)), "")
+        # all that is left is in the window
+        whole = (state["at"] + max_lines >= total) & (F.length(joined) <= max_chars)
+        window = F.substr(joined, F.lit(1), F.lit(max_chars))
+        piece = F.when(whole, F.regexp_extract(window, closing, 0)).otherwise(F.regexp_extract(window, within, 0))
+        return F.when(state["at"] >= total, state).otherwise(_bind(piece, lambda found: advance(state, found)))
 
-    empty = F.from_json(F.lit("[]"), "array<struct<at:int,size:int>>")
-    start = F.struct(F.lit(1).alias("at"), F.lit(False).alias("done"), empty.alias("found"))
-    # every step passes a line end or a full window
-    steps = line_count(text) + F.ceil(total / max_chars).cast("int") + 1
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["found"])
+    empty = F.from_json(F.lit("[]"), "array<struct<line:int,content:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), empty.alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), total), start, step, lambda state: state["found"])
 
 
 def split_oversized(
@@ -135,19 +145,14 @@ def split_oversized(
     over = is_oversized(text, max_lines, max_chars)
     large = rows.where(over).dropDuplicates(["id", "content"])
     small = rows.where(~F.coalesce(over, F.lit(False))).dropDuplicates(["id", "content"])
-    cut = large.withColumn("found", _fold(text, max_lines, max_chars, overlap)).select(
-        "id", "first_line", "content", F.size("found").alias("pieces"), F.posexplode_outer("found").alias("pos", "part")
-    )
-    body = F.substr(text, F.col("part.at"), F.col("part.size"))
-    # a piece starts after a line end, or inside a line that has one piece before it
-    before = F.substr(text, F.lit(1), F.col("part.at") - 1)
-    ends_before = line_count(F.concat(before, F.lit("x"))) - 1
-    cut = cut.select(
+    found = _bind(_units(text, max_chars), lambda units: _fold(units, max_lines, max_chars, overlap))
+    cut = large.select("id", "first_line", found.alias("found"))
+    cut = cut.select("id", "first_line", F.size("found").alias("pieces"), F.posexplode_outer("found").alias("pos", "part")).select(
         "id",
         (F.col("pos") + 1).cast("int").alias("piece"),
         F.col("pieces").cast("int").alias("pieces"),
-        (F.col("first_line") + ends_before).cast("int").alias("start_line"),
-        body.alias("content"),
+        (F.col("first_line") + F.col("part.line")).cast("int").alias("start_line"),
+        F.col("part.content").alias("content"),
     )
     whole = small.select(
         "id", F.lit(1).alias("piece"), F.lit(1).alias("pieces"), F.col("first_line").alias("start_line"), "content"

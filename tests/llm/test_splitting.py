@@ -50,3 +50,26 @@ def test_boundary_and_overlap(chunks):
     assert all(p["content"].endswith("\n\n") for p in pieces[:-1])
     assert all(b["start_line"] == a["end_line"] - 9 for a, b in zip(pieces, pieces[1:]))
     assert splitting.oversized_ids(splitting.split_oversized(chunks([]))).count() == 0
+
+
+def test_time_grows_with_length(spark, chunks):
+    import time
+
+    def took(n):
+        line = "    value = call(argument, other)\n"
+        df = chunks([("a", "f", line * (n // len(line)))])
+        began = time.time()
+        assert splitting.split_oversized(df).count() > n // 2100
+        return time.time() - began
+
+    took(50_000)
+    assert took(1_000_000) < 10
+
+
+def test_lines_of_pieces(chunks):
+    text = "".join(f"l{i}\n" for i in range(1, 200)) + "y" * 5000 + "\nend\n"
+    for p in splitting.split_oversized(chunks([("a", "f", text)])).collect():
+        first = p["content"].split("\n")[0]
+        if first.startswith("l"):
+            assert p["start_line"] == int(first[1:])
+        assert p["start_line"] <= 201 and (not first.startswith("y") or p["start_line"] == 200)
