@@ -58,3 +58,33 @@ def test_packing(documents, public):
     total = sum(sizes.values())
     assert len([s for s in sizes.values() if s]) <= -(-total // 100) * 1.05 + 1
     assert packing.pack(documents([])).count() == 0
+
+
+def related(spark_rows, texts):
+    """Mean share of common words between two documents of a container."""
+    inside = {}
+    for g in spark_rows:
+        inside.setdefault(g["container"], []).append(set(texts[g["doc_id"]].split()))
+    shares = [len(a & b) / len(a | b) for docs in inside.values() for i, a in enumerate(docs) for b in docs[:i]]
+    return float(np.mean(shares))
+
+
+def test_related_documents_lie_together(documents):
+    r = random.Random(3)
+    topics = [[f"t{k}word{j}" for j in range(60)] for k in range(12)]
+    common = [f"common{j}" for j in range(200)]
+    # a third of all documents are of one topic
+    texts = {}
+    for i in range(2400):
+        topic = topics[0 if r.random() < 0.33 else r.randrange(12)]
+        texts[i] = " ".join(r.choice(topic if r.random() < 0.6 else common) for _ in range(r.randint(5, 40)))
+    got = packing.pack(documents(list(texts.items())), capacity=600, shard_docs=200).select("doc_id", "container", "size").collect()
+    sizes = {}
+    for g in got:
+        sizes[g["container"]] = sizes.get(g["container"], 0) + g["size"]
+    assert len(got) == len(texts) and max(sizes.values()) <= 600
+    assert len(sizes) <= -(-sum(sizes.values()) // 600) * 1.03 + 1
+    names = [g["container"] for g in got]
+    r.shuffle(names)
+    shuffled = [{"doc_id": g["doc_id"], "container": n} for g, n in zip(got, names)]
+    assert related(got, texts) > 1.5 * related(shuffled, texts)
