@@ -1,5 +1,5 @@
 from lodestrata import cli
-from lodestrata.sources.tree import ignore_rules, read_tree
+from lodestrata.sources.tree import ignore_rules, read_raw, read_tree, repo_roots
 from lodestrata.streaming.incremental import apply_batch, index_stream, read_index
 
 
@@ -15,6 +15,21 @@ def test_tree(spark, tmp_path):
     assert got["src/__init__.py"]["size_bytes"] == 6 and ignore_rules(str(tmp_path)) == ["*.pyc"]
 
 
+def test_tree_tasks_and_sizes(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"d{k}/e{k}/f").mkdir(parents=True)
+        (tmp_path / f"d{k}/e{k}/f/x.py").write_text("y" * (100 * k))
+        (tmp_path / f"d{k}/a.txt").write_text("1")
+    for tasks in (1, 5, 500):
+        got = {r["relative_path"]: r for r in read_tree(spark, str(tmp_path), tasks=tasks, max_kb=1).collect()}
+        assert len(got) == 24 and got["d11/e11/f/x.py"]["content"] is None and got["d11/e11/f/x.py"]["size_bytes"] == 1100
+        assert len(got["d10/e10/f/x.py"]["content"]) == 1000
+    files = read_tree(spark, str(tmp_path))
+    assert read_raw(files, "d3/e3/f/x.py", 10) == "y" * 10 and read_raw(files, "none") is None
+    assert repo_roots(files).first()["root"] == str(tmp_path)
+    assert read_tree(spark, str(tmp_path / "nowhere")).count() == 0
+
+
 def test_incremental_stream(spark, tmp_path):
     source, index, marks = (str(tmp_path / x) for x in ("in", "index", "marks"))
     shape = "repo_id string, relative_path string, language string, content string, loaded_at timestamp"
