@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pii_model import FRAME, KINDS, emissions, encode, viterbi
+from .pii_model import FRAME, KINDS, emissions, encode, tables, viterbi
 
 #: Windows share so much that each character has 40 on either side in one of them, as far as the text goes.
-WINDOW, STRIDE, BATCH = 640, 560, 384
+WINDOW, STRIDE, BATCH = 960, 880, 192
 
 _up = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _low = "a-zß-öø-ÿłśšžœ"
@@ -35,6 +35,7 @@ _second = re.compile(rf"(?:\s|[^\S\n]{{2}})({_word.pattern})(?!\w)")
 _marks = re.compile(r"[\u0300-\u036f]")
 
 _model: dict | None = None
+_tables: dict | None = None
 
 
 def model() -> dict:
@@ -46,6 +47,14 @@ def model() -> dict:
     return _model
 
 
+def _known() -> dict:
+    """The model's tables, computed once a worker."""
+    global _tables
+    if _tables is None:
+        _tables = tables(model())
+    return _tables
+
+
 def capitalised(value: str) -> list[str]:
     """Words of any alphabet that begin with a capital letter."""
     return [w for w in _word.findall(value) if w[0].isupper()]
@@ -81,7 +90,7 @@ def tag_texts(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         ids = np.zeros((len(part), -(-len(part[-1]) // FRAME) * FRAME), np.uint8)
         for row, window in enumerate(part):
             ids[row, : len(window)] = np.frombuffer(window, np.uint8)
-        tags = viterbi(p, emissions(p, ids))
+        tags = viterbi(p, emissions(p, ids, _known()))
         for column, window in enumerate(part):
             row = tags[: len(window), column].copy()
             some = bool(row.any())

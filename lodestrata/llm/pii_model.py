@@ -14,7 +14,9 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: A step of the network reads a frame of so many characters, and gives the emissions of each of them.
-EMBED, HIDDEN, FRAME = 16, 40, 4
+EMBED, HIDDEN, FRAME = 16, 32, 4
+#: Hidden units of the network that training begins with; the least useful ones are taken out on the way.
+WIDE = 40
 
 
 def _classes() -> np.ndarray:
@@ -79,10 +81,10 @@ def _halved(p: dict, d: str) -> tuple[np.ndarray, np.ndarray]:
     return p["w" + d] * scale, p["b" + d] * scale
 
 
-def _run(p: dict, d: str, ids: np.ndarray, emit: np.ndarray | None, cache: list | None = None) -> None:
+def _run(p: dict, d: str, ids: np.ndarray, emit: np.ndarray, cache: list) -> None:
     """One direction over ids [B, T], a frame of characters a step; its share of the emissions is added to emit.
 
-    Gates: input, forget, output, candidate. cache takes what the gradient needs.
+    Gates: input, forget, output, candidate. cache takes what the gradient needs. Decoding has a form of its own, _forward.
     """
     embed, frame = p["embed"], _frame(p)
     weights, shift = _halved(p, d)
@@ -90,40 +92,103 @@ def _run(p: dict, d: str, ids: np.ndarray, emit: np.ndarray | None, cache: list
     wide = frame * embed.shape[1]
     out = p["out"][:n] if d == "f" else p["out"][n:]
     kind = weights.dtype
-    into = np.zeros((batch, wide + n), kind)
-    c, z, part = np.zeros((batch, n), kind), np.empty((batch, 4 * n), kind), np.empty((batch, n), kind)
+    h, c = np.zeros((batch, n), kind), np.zeros((batch, n), kind)
     steps = range(ids.shape[1] // frame)
     for t in steps if d == "f" else reversed(steps):
-        into[:, :wide] = embed[ids[:, t * frame : (t + 1) * frame]].reshape(batch, wide)
-        np.matmul(into, weights, out=z)
-        z += shift
+        into = np.concatenate([embed[ids[:, t * frame : (t + 1) * frame]].reshape(batch, wide), h], 1)
+        z = np.tanh(into @ weights + shift)
+        z[:, : 3 * n] = z[:, : 3 * n] * 0.5 + 0.5
+        before = c
+        c = c * z[:, n : 2 * n] + z[:, :n] * z[:, 3 * n :]
+        squashed = np.tanh(c)
+        cache.append((t, into, before, z, squashed))
+        h = squashed * z[:, 2 * n : 3 * n]
+        if d == "f":
+            emit[t] += into[:, :wide] @ p["near"]
+        emit[t] += h @ out
+
+
+def tables(p: dict) -> dict:
+    """What decoding needs of a network, computed once: the share of every pair of characters in the gates, per place of the
+    pair in its frame, and the recurrent and output weights.
+
+    The gates are left at tanh + 1, twice their value: the cell is halved once, and the hidden state, also twice its value,
+    meets weights of half theirs.
+    """
+    embed, out = p["embed"], {}
+    size, frame = embed.shape[1], _frame(p)
+    for d in "fb":
+        weights, shift = _halved(p, d)
+        n = shift.shape[0] // 4
+        pairs = []
+        for at in range(0, frame, 2):
+            one, two = (embed @ weights[(at + k) * size : (at + k + 1) * size] for k in (0, 1))
+            both = (one[:, None] + two[None]).reshape(CLASSES * CLASSES, -1)
+            pairs.append(np.ascontiguousarray(both + shift if at == 0 else both))
+        own = p["out"][:n] if d == "f" else p["out"][n:]
+        out[d] = (pairs, np.ascontiguousarray(weights[frame * size :] * 0.5), np.ascontiguousarray(own.T * 0.5))
+    return out
+
+
+def _forward(p: dict, known: dict, d: str, pairs: np.ndarray, ids: np.ndarray, emit: np.ndarray) -> None:
+    """One direction, in as few passes over memory as there can be. The forward one sets emit [frames, tags, B], with what
+    the characters themselves and the bias give; the other adds to it.
+
+    pairs [frames, pairs of a frame, B] numbers the pairs of characters, ids [frames, B, frame] the characters.
+    """
+    inputs, recurrent, out = known[d]
+    n, batch = recurrent.shape[0], pairs.shape[2]
+    kind, forward = recurrent.dtype, d == "f"
+    wide = p["near"].shape[0] if forward else 0
+    # hidden state, embeddings and a one side by side: one product gives the emissions
+    state = np.zeros((batch, n + wide + forward), kind)
+    h = state[:, :n]
+    if forward:
+        state[:, -1] = 1
+        out = np.ascontiguousarray(np.concatenate([out.T, p["near"], p["bias"][None]]).T.astype(kind))
+    c, part = np.zeros((batch, n), kind), np.zeros((batch, n), kind)
+    z, term = np.empty((batch, 4 * n), kind), np.empty((batch, 4 * n), kind)
+    more = np.empty((out.shape[0], batch), kind)
+    seen = np.empty((batch, ids.shape[2], p["embed"].shape[1]), kind)
+    first, second, third, last = (z[:, k * n : (k + 1) * n] for k in range(4))
+    gates = z[:, : 3 * n]
+    steps = range(len(pairs))
+    for t in steps if forward else reversed(steps):
+        np.matmul(h, recurrent, out=z)
+        for table, which in zip(inputs, pairs[t]):
+            np.take(table, which, axis=0, out=term, mode="clip")
+            z += term
         np.tanh(z, out=z)
-        gates = z[:, : 3 * n]
-        gates *= 0.5
-        gates += 0.5
-        before = c.copy() if cache is not None else None
-        c *= z[:, n : 2 * n]
-        np.multiply(z[:, :n], z[:, 3 * n :], out=part)
+        gates += 1
+        c *= second
+        np.multiply(first, last, out=part)
         c += part
+        c *= 0.5
         np.tanh(c, out=part)
-        if cache is not None:
-            cache.append((t, into.copy(), before, z.copy(), part.copy()))
-        np.multiply(part, z[:, 2 * n : 3 * n], out=into[:, wide:])
-        if d == "f" and emit is not None:
-            emit[t] += into[:, :wide] @ p["near"]
-        if emit is not None:
-            emit[t] += into[:, wide:] @ out
+        np.multiply(part, third, out=h)
+        if forward:
+            np.take(p["embed"], ids[t], axis=0, out=seen, mode="clip")
+            state[:, n:-1] = seen.reshape(batch, wide)
+            np.matmul(out, state.T, out=emit[t])
+        else:
+            np.matmul(out, h.T, out=more)
+            emit[t] += more
+
 
+def emissions(p: dict, ids: np.ndarray, known: dict | None = None) -> np.ndarray:
+    """[T, B, tags] of ids [B, T]; T is a multiple of the frame. It lies in memory as the search wants it: [T, tags, B].
 
-def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
-    """[T, B, tags] of ids [B, T]; T is a multiple of the frame."""
+    known are the network's tables, where a caller has them.
+    """
     batch, steps = ids.shape
     frame = _frame(p)
-    emit = np.empty((steps // frame, batch, frame * TAGS), p["out"].dtype)
-    emit[:] = p["bias"]
+    frames = np.ascontiguousarray(ids.reshape(batch, steps // frame, frame).swapaxes(0, 1)).astype(np.intp)
+    pairs = np.ascontiguousarray((frames[:, :, ::2] * CLASSES + frames[:, :, 1::2]).swapaxes(1, 2))
+    emit = np.empty((steps // frame, frame * TAGS, batch), p["out"].dtype)
+    known = known or tables(p)
     for d in "fb":
-        _run(p, d, ids, emit)
-    return emit.reshape(steps // frame, batch, frame, TAGS).swapaxes(1, 2).reshape(steps, batch, TAGS)
+        _forward(p, known, d, pairs, frames, emit)
+    return emit.reshape(steps, TAGS, batch).swapaxes(1, 2)
 
 
 def viterbi(p: dict, scores: np.ndarray) -> np.ndarray:
@@ -133,13 +198,14 @@ def viterbi(p: dict, scores: np.ndarray) -> np.ndarray:
     """
     steps, batch, n = scores.shape
     across = np.ascontiguousarray(scores.swapaxes(1, 2))
-    trans = p["trans"][:, :, None]
+    # written out for all columns, as short rows of one number each are slow to add
+    trans = np.repeat(p["trans"][:, :, None], batch, 2)
     best = np.empty((steps, n, batch), scores.dtype)
     best[0] = across[0] + p["first"][:, None]
     path = np.empty((n, n, batch), scores.dtype)
     for t in range(1, steps):
         np.add(best[t - 1][:, None, :], trans, out=path)
-        np.max(path, axis=0, out=best[t])
+        np.maximum.reduce(path, axis=0, out=best[t])
         best[t] += across[t]
     last = best[-1].argmax(0)
     outside = across[:, 0].sum(0, dtype=np.float64) + p["first"][0] + (steps - 1) * float(p["trans"][0, 0])

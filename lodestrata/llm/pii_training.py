@@ -1,6 +1,6 @@
 """Labelled spans for the model of personal information, made from invented persons, and its training.
 
-    python -m lodestrata.llm.pii_training OUT.npz [FIRST_LEG.npz]
+    python -m lodestrata.llm.pii_training OUT.npz [SECOND_LEG.npz]
 
 Every example is a stretch of text with the spans of the values in it. The words around them are drawn from a public
 tokenizer's vocabulary, from short lists of everyday words of four languages and from the Python documentation that comes
@@ -19,7 +19,7 @@ import unicodedata
 import numpy as np
 
 from .encoding import VOCABULARIES
-from .pii_model import FRAME, KINDS, Adam, emissions, encode, loss_and_gradient, start, viterbi
+from .pii_model import FRAME, HIDDEN, KINDS, WIDE, Adam, _run, emissions, encode, loss_and_gradient, start, viterbi
 
 LENGTH = 32 * FRAME
 
@@ -360,8 +360,27 @@ def train(p: dict, maker: Maker, batches: int, rate: float, size: int = 128) ->
     return p
 
 
+def pruned(p: dict, maker: Maker, hidden: int) -> dict:
+    """The network with only those units of each direction that move the emissions most."""
+    ids, _ = batch(maker, 256)
+    n, frame = p["bf"].shape[0] // 4, p["near"].shape[0] // p["embed"].shape[1]
+    wide, out = p["near"].shape[0], {k: v for k, v in p.items() if k not in ("out", "wf", "wb", "bf", "bb")}
+    rows = []
+    for d, own in (("f", p["out"][:n]), ("b", p["out"][n:])):
+        cache: list = []
+        emit = np.zeros((ids.shape[1] // frame, len(ids), p["bias"].shape[0]), np.float32)
+        _run(p, d, ids, emit, cache)
+        spread = np.concatenate([squashed * z[:, 2 * n : 3 * n] for _, _, _, z, squashed in cache]).std(0)
+        kept = np.sort(np.argsort(-spread * np.sqrt((own**2).sum(1)))[:hidden])
+        gates = np.concatenate([k * n + kept for k in range(4)])
+        out[f"w{d}"] = p[f"w{d}"][np.concatenate([np.arange(wide), wide + kept])][:, gates]
+        out[f"b{d}"] = p[f"b{d}"][gates]
+        rows.append(own[kept])
+    return out | {"out": np.concatenate(rows)}
+
+
 if __name__ == "__main__":
-    # two legs: 10,000 batches from scratch, then 5,000 with more names among the values
-    out, first = sys.argv[1], dict(np.load(sys.argv[2])) if len(sys.argv) > 2 else train(start(7), Maker(7), 10_000, 5e-3)
-    trained = train(first, Maker(8, 4), 5_000, 2e-3)
-    np.savez_compressed(out, **{k: v.astype(np.float32) for k, v in trained.items()})
+    # three legs: from scratch, with more names among the values, and with fewer units
+    first = dict(np.load(sys.argv[2])) if len(sys.argv) > 2 else train(train(start(7, hidden=WIDE), Maker(7), 10_000, 5e-3), Maker(8, 4), 5_000, 2e-3)
+    trained = train(pruned(first, Maker(9), HIDDEN), Maker(9, 3), 5_000, 2.5e-3)
+    np.savez_compressed(sys.argv[1], **{k: v.astype(np.float32) for k, v in trained.items()})
