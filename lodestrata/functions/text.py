@@ -219,10 +219,6 @@ def nearest_names(vocabulary: list[str]):
     return nearest
 
 
-def strip_code_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?m)^```(?:json)?\s*|\s*```$", ""))
-
-
 def duration_text(seconds: Column) -> Column:
     """Seconds below a minute, minutes below an hour, else hours and minutes."""
     whole = F.floor(seconds).cast("int")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, context, lexical, pipeline, retrieval, scan, store, vectors
 from ..session import drop_table, materialize
+from ..sources import tree
 from ..sources.tables import table, version
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +235,24 @@ def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("repo_id", "relative_path", F.sha1("content").alias("sha1"), F.sha1("content").eqNullSafe(F.col("content_hash")).alias("agrees"))
 
 
+def hash_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    return store.snapshot(_files(spark, folder))
+
+
+def repo_roots(spark: SparkSession, folder: str) -> DataFrame:
+    return tree.repo_roots(_files(spark, folder))
+
+
+def chunks_without_repo(spark: SparkSession, folder: str) -> DataFrame:
+    return store.delete_repo(_chunks(spark, folder), "7154cf61b6b9").select("id")
+
+
+def named_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks as they are shown to a model, by their hash."""
+    columns = (F.col(c) for c in ("file_path", "start_line", "end_line", "chunk_type", "name", "language", "content"))
+    return _chunks(spark, folder).select("id", F.sha1(context.format_chunk(*columns)).alias("sha1"))
+
+
 def repo_ids(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "repos").select("repo_id", scan.repo_id(F.col("root_path")).alias("derived"))
 
@@ -461,7 +480,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         bm25_topk, bm25_cold, bm25_chunks_topk, bm25_statistics, bm25_document_frequency, bm25_padded, rrf_fusion, file_scoped_retrieval, multi_strategy, multi_strategy_chunks, pipeline_chunks, pipeline_context, vector_index, plan_text,
         percentile_cut, vector_topk, vector_filtered, cosine_pairs, hashed_embeddings, hybrid_chunks, scan_selected, scan_frontend, scan_ignored,
-        scan_changed, scan_deleted, scan_diff, content_hashes, repo_ids, chunk_ids, folder_statistics, area_plan, repo_types, folder_batches,
+        scan_changed, scan_deleted, scan_diff, content_hashes, hash_snapshot, repo_roots, chunks_without_repo, named_chunks, repo_ids, chunk_ids, folder_statistics, area_plan, repo_types, folder_batches,
         line_windows, window_chunks, python_chunks, chunked_files, embedding_texts, chunk_statistics, chunk_types, latest_chunks, upserted_chunks,
         chunks_without_deleted, chunks_to_embed, chunk_lookup, repo_filtered, filter_dictionary, symbol_vocabulary, grep_lines, grep_windows,
         merged_spans, diversified, reranked, packed_context, built_context, relevant_lines, trimmed_history, last_turns, prompts, split_identifiers,

@@ -278,6 +278,12 @@ SQL: dict[str, str] = {
     FROM files_now f FULL JOIN before b ON f.repo_id = b.repo_id AND f.relative_path = b.relative_path)
     SELECT repo_id, sum((kind = 'added')::INT) AS added, sum((kind = 'changed')::INT) AS changed, sum((kind = 'unchanged')::INT) AS unchanged, sum((kind = 'deleted')::INT) AS deleted FROM kinds GROUP BY repo_id""",
     "content_hashes": f"WITH {FILES} SELECT repo_id, relative_path, sha1(content) AS sha1, sha1(content) IS NOT DISTINCT FROM content_hash AS agrees FROM files_now",
+    "hash_snapshot": f"WITH {FILES} SELECT repo_id, relative_path, max(coalesce(content_hash, sha1(content))) AS content_hash FROM files_now WHERE coalesce(content_hash, sha1(content)) IS NOT NULL GROUP BY ALL",
+    "repo_roots": f"""WITH {FILES}, r AS (SELECT repo_id, CASE WHEN ends_with(path, '/' || relative_path) THEN path[1:length(path) - length(relative_path) - 1] END AS root FROM files_now)
+    SELECT repo_id, CASE WHEN min(root) = max(root) THEN min(root) END AS root FROM r GROUP BY repo_id""",
+    "chunks_without_repo": f"WITH {CHUNKS} SELECT id FROM chunks_now WHERE repo_id IS DISTINCT FROM '7154cf61b6b9'",
+    "named_chunks": f"""WITH {CHUNKS} SELECT id, sha1('### ' || file_path || ' (lines ' || start_line || '–' || end_line || ')' || CASE WHEN coalesce(name, '') <> '' THEN ' — ' || coalesce(chunk_type, 'block') || ': `' || name || '`' ELSE '' END
+    || chr(10) || '```' || coalesce(language, '') || chr(10) || content || chr(10) || '```') AS sha1 FROM chunks_now""",
     "repo_ids": "SELECT repo_id, sha1(lower(root_path))[1:12] AS derived FROM repos",
     "chunk_ids": f"WITH {CHUNKS} SELECT id, CASE WHEN coalesce(repo_id, '') = '' THEN '' ELSE repo_id || ':' END || file_path || ':' || start_line || '-' || end_line AS derived FROM chunks_now",
     "folder_statistics": rf"WITH {FILES} SELECT repo_id, regexp_replace(relative_path, '/?[^/]*$', '') AS folder, CASE WHEN {ENDING} = '' THEN {NAME} ELSE {ENDING} END AS key, count(*) AS files, sum(coalesce(size_bytes, 0))::BIGINT AS bytes FROM files_now GROUP BY ALL",

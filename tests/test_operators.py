@@ -197,3 +197,35 @@ def test_store(spark):
     new = spark.createDataFrame([("b", 2), ("c", 2)], "id string, ord int")
     assert {tuple(r) for r in store.upsert(old, new).collect()} == {("a", 1), ("b", 2), ("c", 2)}
     assert [r["id"] for r in store.not_stored(new, old).collect()] == ["c"]
+    rows = spark.createDataFrame([("a", "r", [1.0]), ("b", None, []), ("c", "s", None)], "id string, repo_id string, embedding array<float>")
+    assert {r["id"] for r in store.delete_repo(rows, "r").collect()} == {"b", "c"}
+    assert [r["id"] for r in store.with_vector(rows).collect()] == ["a"]
+
+
+def test_hash_snapshots(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert store.read_snapshot(spark, path).count() == 0
+    first = files(spark, [("r", "a", 1, "x", "1", None), ("r", "b", 1, "y", None, None), ("r", "n", 1, None, None, None)])
+    store.write_snapshot(first, path)
+    second = files(spark, [("r", "a", 1, "x", "2", None), ("r", "b", 1, "y", "95cb0bfd2977c761298d9624e4b4d4c72a39974a", None), ("r", "c", 1, "z", "3", None)])
+    assert {r["relative_path"] for r in scan.changed_files(second, store.read_snapshot(spark, path)).collect()} == {"a", "c"}
+    store.write_snapshot(second, path)
+    assert scan.changed_files(second, store.read_snapshot(spark, path)).count() == 0
+
+
+def test_running_numbers_against_loop(spark):
+    random.seed(2)
+    rows = [(random.choice("ab"), i, random.randint(0, 40) * 1_000_000) for i in range(700)]
+    df = spark.createDataFrame([(g, i, v) for g, i, v in rows], "g string, event_id int, at bigint").selectExpr("g", "event_id", "timestamp_micros(at) AS ts")
+    got = {(r["g"], r["nth"]): r["rate"] for r in store.rolling_rate(df, "g", window=30, every=7).collect()}
+    for g in "ab":
+        own = sorted((v, i) for x, i, v in rows if x == g)
+        want = {}
+        for nth in range(7, len(own) + 1, 7):
+            first = max(nth - 29, 1)
+            seconds = (own[nth - 1][0] - own[first - 1][0]) / 1e6
+            want[nth] = (nth - first) / seconds if seconds else None
+        assert {n: v for (x, n), v in got.items() if x == g} == want
+    times = spark.createDataFrame([("r", i, float(i % 5)) for i in range(300)], "run string, at int, seconds double")
+    etas = [r["eta"] for r in store.folder_eta(times, "at", "seconds").orderBy("at").collect()]
+    assert etas[0] is None and all(abs(etas[i] - (300 - i) * sum(k % 5 for k in range(i)) / i) < 1e-6 for i in range(1, 300))
