@@ -57,6 +57,7 @@ _comment = re.compile(r"\s*(?://|#|--|/\*|\*|<!--|;|%|\"\"\"|''')")
 _marker = re.compile(r"(?://|#) Code generated .* DO NOT EDIT\.")
 _resource = re.compile(r"public static final int \w+\s*=\s*0x[0-9a-fA-F]{8};")
 _shape_name = re.compile(r"\"[^\"]*\"|'[^']*'|[A-Za-z_]\w*")
+_string = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`")
 _pem = re.compile(r"-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----", re.S)
 _blob = re.compile(r"[A-Za-z0-9+/]{60,}={0,2}|(?:\\x[0-9a-fA-F]{2}){20,}")
 _lines = re.compile(r"\r\n|\n|\r")
@@ -109,10 +110,12 @@ def composition(path: str, content: str, lines: list[str]) -> str | None:
     if ending in ("json", "map") and re.match(r"\s*\{\s*\"version\"\s*:\s*3\b", content) and '"mappings"' in content:
         return "minified"
     code = full[3:] if re.match(r"/\*!", full[0]) and len(full) > 3 else full
-    long = sum(len(x) for x in code if len(x) > 400)
+    # one long literal, a query for instance, makes no compressed script
+    bare = [_string.sub('""', x) if len(x) > 400 else x for x in code]
+    long = sum(len(x) for x in bare if len(x) > 400)
     blank = sum(map(content.count, " \t\r\n"))
     if ending in ("js", "mjs", "cjs", "css", "ts", "html", "svg") or not ending:
-        if size > 400 and long >= 0.8 * sum(map(len, code)) and blank < 0.08 * size:
+        if size > 400 and long >= 0.8 * sum(map(len, bare)) and blank < 0.08 * size:
             return "minified"
     text = _pem.sub("", content) if "-----BEGIN" in content else content
     blobs = sum(map(len, _blob.findall(text)))

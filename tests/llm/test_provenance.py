@@ -58,3 +58,11 @@ def test_folders_named_like_a_project(spark):
     rows += [(f"r{k}", f"app/utils/z{k}.py", own(k + 2)) for k in range(4)] + [("s", "third_party/utils/w.py", own(9)), ("t", "vendor/mine/v.py", own(10)), ("u", "quill-1.2.3/q.py", own(11))]
     got = labels(spark, rows)
     assert {k for k, v in got.items() if v} == {"lib/x.py", "lib/utils/y.py", "third_party/utils/w.py", "quill-1.2.3/q.py"}
+
+
+def test_one_long_literal_is_no_compression():
+    query = "SELECT " + ", ".join(f"alpha{i}.beta{i}" for i in range(200))
+    text = f'const a = load();\n  const q = "{query} FROM x";\nrun(q);\n'
+    assert provenance.composition("a/b.ts", text, text.split("\n")) is None
+    small = "!function(){" + 'a=b("x",c);' * 200 + "}();"
+    assert provenance.composition("a/b.js", small, [small]) == "minified"
