@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .pii_model import FRAME, KINDS, emissions, encode, tables, viterbi
 
-#: Windows share so much that each character has 40 on either side in one of them, as far as the text goes.
-WINDOW, STRIDE, BATCH = 960, 880, 192
+#: Windows share so much that each character has 40 on either side in one of them, as far as the text goes; CELLS
+#: characters are read at once, in at most BATCH windows.
+WINDOW, STRIDE, BATCH, CELLS = 1440, 1360, 768, 400_000
 
 _up = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _low = "a-zß-öø-ÿłśšžœ"
@@ -61,10 +62,8 @@ def capitalised(value: str) -> list[str]:
 
 
 def windows(a: int, b: int) -> list[tuple[int, int]]:
-    if b - a <= WINDOW:
-        return [(a, b)]
-    starts = list(range(a, b - WINDOW, STRIDE)) + [b - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
+    """Stretches of a text from start to end; the last one is as long as what is left."""
+    return [(s, min(s + WINDOW, b)) for s in range(a, max(b - (WINDOW - STRIDE), a + 1), STRIDE)]
 
 
 def tag_texts(texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -85,8 +84,11 @@ def tag_texts(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     hit: set[int] = set()
     # windows of like length share a batch
     distinct = sorted(jobs, key=len)
-    for at in range(0, len(distinct), BATCH):
-        part = distinct[at : at + BATCH]
+    at = 0
+    while at < len(distinct):
+        ahead = len(distinct[min(at + BATCH // 2, len(distinct) - 1)])
+        part = distinct[at : at + max(64, min(BATCH, CELLS // ahead))]
+        at += len(part)
         ids = np.zeros((len(part), -(-len(part[-1]) // FRAME) * FRAME), np.uint8)
         for row, window in enumerate(part):
             ids[row, : len(window)] = np.frombuffer(window, np.uint8)

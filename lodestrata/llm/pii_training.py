@@ -1,6 +1,6 @@
 """Labelled spans for the model of personal information, made from invented persons, and its training.
 
-    python -m lodestrata.llm.pii_training OUT.npz [SECOND_LEG.npz]
+    python -m lodestrata.llm.pii_training OUT.npz [FROM.npz LEGS_DONE]
 
 Every example is a stretch of text with the spans of the values in it. The words around them are drawn from a public
 tokenizer's vocabulary, from short lists of everyday words of four languages and from the Python documentation that comes
@@ -379,8 +379,16 @@ def pruned(p: dict, maker: Maker, hidden: int) -> dict:
     return out | {"out": np.concatenate(rows)}
 
 
+#: Legs of the training: seed and share of names of the maker, batches, rate; before the third, units are taken out.
+LEGS = [(7, 1, 10_000, 5e-3), (8, 4, 5_000, 2e-3), (9, 3, 5_000, 2.5e-3), (10, 3, 6_000, 2e-3)]
+
+
 if __name__ == "__main__":
-    # three legs: from scratch, with more names among the values, and with fewer units
-    first = dict(np.load(sys.argv[2])) if len(sys.argv) > 2 else train(train(start(7, hidden=WIDE), Maker(7), 10_000, 5e-3), Maker(8, 4), 5_000, 2e-3)
-    trained = train(pruned(first, Maker(9), HIDDEN), Maker(9, 3), 5_000, 2.5e-3)
-    np.savez_compressed(sys.argv[1], **{k: v.astype(np.float32) for k, v in trained.items()})
+    # OUT.npz, and to go on from a leg: its result, and how many legs are done
+    p = dict(np.load(sys.argv[2])) if len(sys.argv) > 2 else start(7, hidden=WIDE)
+    done = int(sys.argv[3]) if len(sys.argv) > 3 else 0
+    for k, (seed, names, batches, rate) in enumerate(LEGS[done:], done):
+        if k == 2:
+            p = pruned(p, Maker(9), HIDDEN)
+        p = train(p, Maker(seed, names), batches, rate)
+        np.savez_compressed(sys.argv[1], **{k: v.astype(np.float32) for k, v in p.items()})
