@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -72,11 +73,12 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                rows = [(k, v) for k, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if v]
-                if not rows:
+                part = part.filter(pa.compute.fill_null(pa.compute.greater(pa.compute.list_value_length(part.column(1)), 0), False))
+                part = part.filter(part.column(0).is_valid())
+                if not part.num_rows:
                     continue
-                ids = np.array([k for k, _ in rows], "<i8")
-                matrix = np.array([v for _, v in rows], "<f8")
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(ids), -1)
                 norm = np.sqrt((matrix**2).sum(1, keepdims=True))
                 matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([matrix.tobytes()])], [f"{name}_ids", f"{name}_rows"])
