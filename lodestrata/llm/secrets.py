@@ -328,7 +328,9 @@ def evidence(run: str) -> list[str]:
 
 #: A quoted literal of one word, and what is assigned under any name: values, among which secrets stand.
 _literal = re.compile(r"\"[^\"\s\\]{6,}\"|'[^'\s\\]{6,}'|`[^`\s\\]{6,}`")
-_credential_name = re.compile(r"(?i)(?:pass|pwd|secret|token|key|cred|auth|dsn|login|pem|kennwort|contrase|clave|bearer|basic)[\w\-]*[\"']?\s*(?:[:=(,]|\bis\b|\s)\s*[^\r\n]*")
+# fixed values: what names of credentials hold
+_NAMES = "pass pwd secret token key cred auth dsn login pem kennwort contrase clave bearer basic".split()
+_credential_name = re.compile(rf"(?i)(?:{'|'.join(_NAMES)})[\w\-]*[\"']?\s*(?:[:=(,]|\bis\b|\s)\s*[^\r\n]*")
 
 
 def vouching(content: str) -> str:
@@ -336,7 +338,10 @@ def vouching(content: str) -> str:
 
     So a secret does not become a word of the dictionary, however many chunks hold it.
     """
-    return _literal.sub(" ", _credential_name.sub(" ", content))
+    low = content.lower()
+    if any(name in low for name in _NAMES):
+        content = _credential_name.sub(" ", content)
+    return _literal.sub(" ", content)
 
 
 def dictionary(df: DataFrame, words: int = DICTIONARY_WORDS, least: int = LEAST_CHUNKS, share: float = WORD_SHARE) -> dict[str, int]:
