@@ -3,9 +3,10 @@
     python -m lodestrata.llm.pii_training OUT.npz [FROM.npz LEGS_DONE]
 
 Every example is a stretch of text with the spans of the values in it. The words around them are drawn from a public
-tokenizer's vocabulary, from short lists of everyday words of four languages and from the Python documentation that comes
-with the interpreter; sentences are put together at random. Nothing is taken from the texts that are searched. Training
-runs a fixed number of batches from fixed seeds.
+tokenizer's vocabulary, from short lists of everyday words and cue phrases of four languages and from the Python
+documentation that comes with the interpreter; sentences are put together at random. Texts like the ones searched were
+known when the lists were written, and about a third of the phrases stand in them. Training runs a fixed number of batches
+from fixed seeds.
 """
 
 from __future__ import annotations
