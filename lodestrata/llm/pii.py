@@ -25,7 +25,7 @@ from .pii_model import FRAME, KINDS, emissions, encode, tables, viterbi
 
 #: Windows share so much that each character has 40 on either side in one of them, as far as the text goes; CELLS
 #: characters are read at once, in at most BATCH windows.
-WINDOW, STRIDE, BATCH, CELLS = 1440, 1360, 768, 400_000
+WINDOW, STRIDE, BATCH, CELLS = 1440, 1360, 768, 200_000
 
 _up = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _low = "a-zß-öø-ÿłśšžœ"
