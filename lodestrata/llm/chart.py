@@ -18,9 +18,8 @@ import numpy as np
 
 #: Edits of a phrase up to which sets of states are kept per number of edits.
 MANY = 48
-#: Brackets without a match up to which the least cost of pairing them is sought; with more, each is left out: the cost is
-#: then an upper bound, and the text is flagged all the same.
-MANY_BRACKETS = 1_500
+#: Rows of the table of brackets without a match that are met at once.
+ROWS = 64
 
 
 class Phrases:
@@ -254,37 +253,51 @@ def pairing(brackets: str, pairs: dict[str, str]) -> tuple[int, list[tuple[int,
     if not m:
         return 0, found
     opens = np.array([brackets[at] in pairs for at in stack])
-    if m > MANY_BRACKETS:
-        return m, found
+    first_open = int(opens.argmax()) if opens.any() else m
+    if opens[first_open:].all():
+        # only closing ones, then only opening ones: two neighbours of a kind are a pair at a cost of 1
+        single = first_open % 2
+        found += [(stack[i], stack[i + 1]) for i in range(0, first_open - single, 2)]
+        if single and (m - first_open) % 2:
+            first_open -= 1  # what is left of both
+        found += [(stack[i], stack[i + 1]) for i in range(first_open, m - 1, 2)]
+        return (m + 1) // 2 + (single and not m % 2), found
     kinds = {c: k for k, (o, v) in enumerate(pairs.items()) for c in (o, v)}
     kind = np.array([kinds[brackets[at]] for at in stack])
-    # what it takes to make a pair of i and j
-    change = (~opens[:, None]).astype(np.int32) + opens[None, :]
-    change = np.where((change == 0) & (kind[:, None] != kind[None, :]), 1, change)
-    cost = np.zeros((m + 1, m + 1), np.int32)  # of stack[i:j]
-    choice = np.full((m + 1, m + 1), -1, np.int32)  # the partner of i, or -1
+    # cost[i, j] of stack[i:j], at most half of all and one; below the diagonal more than any. Twice that must fit
+    number = np.int16 if m < 20_000 else np.int32
+    cost = np.full((m + 1, m + 1), m + 5 if m < 20_000 else 1 << 29, number)
+
+    def change(i: int, until: int) -> np.ndarray:
+        """What it takes to make a pair of i and each one behind it."""
+        behind = opens[i + 1 : until]
+        return np.where(behind, 1 + (not opens[i]), np.where(opens[i], kind[i] != kind[i + 1 : until], 1)).astype(number)
+
+    cost[m, m] = 0
     for i in range(m - 1, -1, -1):
-        cost[i, i + 1] = 1
-        for j in range(i + 2, m + 1):
-            # i alone, or with k: inside i+1..k, and what is left of k+1..j
-            with_k = cost[i + 1, i + 1 : j] + change[i, i + 1 : j] + cost[i + 2 : j + 1, j]
-            best = int(with_k.argmin())
-            alone = 1 + cost[i + 1, j]
-            if with_k[best] <= alone:
-                cost[i, j], choice[i, j] = with_k[best], i + 1 + best
-            else:
-                cost[i, j] = alone
+        cost[i, i], cost[i, i + 1] = 0, 1
+        if i + 2 > m:
+            continue
+        # i alone, or with k: inside i+1..k, and what is left of k+1..j
+        with_k = cost[i + 1, i + 1 : m] + change(i, m)
+        least = cost[i, i + 2 :]
+        np.add(cost[i + 1, i + 2 :], 1, out=least)
+        for k in range(i + 2, m + 1, ROWS):
+            rows = cost[k : k + ROWS, k:] + with_k[k - i - 2 : k - i - 2 + ROWS, None]
+            np.minimum(least[k - i - 2 :], rows.min(0), out=least[k - i - 2 :])
     todo = [(0, m)]
     while todo:
         i, j = todo.pop()
         if j - i < 2:
             continue
-        k = int(choice[i, j])
-        if k < 0:
-            todo.append((i + 1, j))
-        else:
+        with_k = cost[i + 1, i + 1 : j] + change(i, j) + cost[i + 2 : j + 1, j]
+        best = int(with_k.argmin())
+        if with_k[best] <= 1 + cost[i + 1, j]:
+            k = i + 1 + best
             found.append((stack[i], stack[k]))
             todo += [(i + 1, k), (k + 1, j)]
+        else:
+            todo.append((i + 1, j))
     return int(cost[0, m]), found
 
 

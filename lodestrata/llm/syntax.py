@@ -863,7 +863,9 @@ def repair(language: str, content: str) -> tuple[int, str | None]:
         return 0, None
     if _markers.search(content):
         return found.cost, "conflict"
-    if found.cost > max(8, found.tokens * 0.08):
+    # edits throughout, by their share, whatever the text's length; one edit is no more than damage, and each of what is open
+    # at the end may cost a few
+    if found.cost > max(1, 4 * found.open) and found.cost > found.tokens * 0.08:
         return found.cost, "foreign"
     if found.open:
         return found.cost, "truncated"

@@ -71,6 +71,21 @@ def test_causes():
     assert syntax.repair("java", "from a import b\nimport os\n\ndef f(x):\n    return 'abc'\n" * 9)[1] == "foreign"
 
 
+def test_causes_and_costs_know_no_size():
+    """A short text has the cause of a long one of its kind, and brackets are paired at least cost however many there are."""
+    import itertools
+
+    foreign = "from a import b\nimport os\n\ndef f(x):\n    return 'abc'\n"
+    assert [syntax.repair("java", foreign * n)[1] for n in (1, 2, 9, 40)] == ["foreign"] * 4
+    assert [syntax.repair("json", text)[1] for text in ('{"a": 1,}', "[1, 2", '{"a": [1, {"b": 2')] == ["damaged", "truncated", "truncated"]
+    kinds = {"(": ")", "[": "]"}
+    for n in (1_400, 1_500, 1_501, 1_502, 2_001):
+        assert pairing("(" * n, kinds)[0] == pairing(")" * n, kinds)[0] == (n + 1) // 2
+        assert pairing("(" * (n // 2) + "]" * (n - n // 2), kinds)[0] == (n + 1) // 2
+    for closing, opening in itertools.product(range(6), repeat=2):
+        assert pairing(")" * closing + "[" * opening, kinds)[0] == (closing + 1) // 2 + (opening + 1) // 2
+
+
 def test_files(spark):
     rows = [("r", "a.py", None, "x = (", "k"), ("r", "a.py", None, "x = (", "k"), ("r", "b.py", "python", None, None), ("r", "c.py", "python", " ", None), ("r", "d.md", "markdown", "(", None), ("r", None, None, "(", None), ("r", "e.json", None, "{}", None)]
     df = spark.createDataFrame(rows, "repo_id string, relative_path string, language string, content string, cost string")
@@ -95,6 +110,7 @@ def test_lexers_are_linear():
 def test_least_costs_by_brute_force():
     """Exact edit distance to a small language, and to balanced brackets, against enumeration."""
     import itertools
+    import itertools
 
     def distance(a, b):
         row = list(range(len(b) + 1))
