@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .pii_model import FRAME, KINDS, emissions, encode, tables, viterbi
 
 #: Windows share so much that each character has 40 on either side in one of them, as far as the text goes; CELLS
-#: characters are read at once, in at most BATCH windows.
-WINDOW, STRIDE, BATCH, CELLS = 1440, 1360, 768, 200_000
+#: characters are read at once, in at most BATCH windows. Behind each window stand END characters of class 0, as behind the
+#: texts of the training, whatever windows it is read with.
+WINDOW, STRIDE, BATCH, CELLS, END = 1440, 1360, 768, 400_000, 16
 
 _up = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _low = "a-zß-öø-ÿłśšžœ"
@@ -75,24 +76,24 @@ def tag_texts(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         if not text or text.isspace():
             continue
         codes = encode(text)
-        if _marks.search(text):
+        if not text.isascii() and _marks.search(text):
             kept[k] = np.array([i for i, c in enumerate(text) if not _marks.match(c)], np.int64)
             codes = codes[kept[k]]
         for s, e in windows(0, len(codes)):
             jobs.setdefault(codes[s:e].tobytes(), []).append((k, s, e))
     tagged: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     hit: set[int] = set()
-    # windows of like length share a batch
-    distinct = sorted(jobs, key=len)
+    # windows of like length share a batch, the longest first
+    distinct = sorted(jobs, key=len, reverse=True)
     at = 0
     while at < len(distinct):
-        ahead = len(distinct[min(at + BATCH // 2, len(distinct) - 1)])
-        part = distinct[at : at + max(64, min(BATCH, CELLS // ahead))]
+        part = distinct[at : at + min(BATCH, max(1, CELLS // len(distinct[at])))]
         at += len(part)
-        ids = np.zeros((len(part), -(-len(part[-1]) // FRAME) * FRAME), np.uint8)
+        lengths = np.array([len(window) + END for window in part])
+        ids = np.zeros((len(part), -(-int(lengths[0]) // FRAME) * FRAME), np.uint8)
         for row, window in enumerate(part):
             ids[row, : len(window)] = np.frombuffer(window, np.uint8)
-        tags = viterbi(p, emissions(p, ids, _known()))
+        tags = viterbi(p, emissions(p, ids, _known(), lengths), lengths)
         for column, window in enumerate(part):
             row = tags[: len(window), column].copy()
             some = bool(row.any())

@@ -50,6 +50,8 @@ def encode(text: str) -> np.ndarray:
     global _table
     if _table is None:
         _table = _classes()
+    if text.isascii():
+        return _table[np.frombuffer(text.encode(), np.uint8)]
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     return np.where(codes < 0x10000, _table[np.minimum(codes, 0xFFFF)], 4).astype(np.uint8)
 
@@ -130,11 +132,12 @@ def tables(p: dict) -> dict:
     return out
 
 
-def _forward(p: dict, known: dict, d: str, pairs: np.ndarray, ids: np.ndarray, emit: np.ndarray) -> None:
+def _forward(p: dict, known: dict, d: str, pairs: np.ndarray, ids: np.ndarray, emit: np.ndarray, active: list[int]) -> None:
     """One direction, in as few passes over memory as there can be. The forward one sets emit [frames, tags, B], with what
     the characters themselves and the bias give; the other adds to it.
 
-    pairs [frames, pairs of a frame, B] numbers the pairs of characters, ids [frames, B, frame] the characters.
+    pairs [frames, pairs of a frame, B] numbers the pairs of characters, ids [frames, B, frame] the characters; active tells
+    how many rows are as long as each frame. The longest come first, and nothing is read behind a row's end.
     """
     inputs, recurrent, out = known[d]
     n, batch = recurrent.shape[0], pairs.shape[2]
@@ -142,43 +145,55 @@ def _forward(p: dict, known: dict, d: str, pairs: np.ndarray, ids: np.ndarray, e
     wide = p["near"].shape[0] if forward else 0
     # hidden state, embeddings and a one side by side: one product gives the emissions
     state = np.zeros((batch, n + wide + forward), kind)
-    h = state[:, :n]
     if forward:
         state[:, -1] = 1
         out = np.ascontiguousarray(np.concatenate([out.T, p["near"], p["bias"][None]]).T.astype(kind))
-    c, part = np.zeros((batch, n), kind), np.zeros((batch, n), kind)
-    z, term = np.empty((batch, 4 * n), kind), np.empty((batch, 4 * n), kind)
-    more = np.empty((out.shape[0], batch), kind)
-    seen = np.empty((batch, ids.shape[2], p["embed"].shape[1]), kind)
-    first, second, third, last = (z[:, k * n : (k + 1) * n] for k in range(4))
-    gates = z[:, : 3 * n]
-    steps = range(len(pairs))
+    c_all, part_all = np.zeros((batch, n), kind), np.zeros((batch, n), kind)
+    z_all, term_all = np.empty((batch, 4 * n), kind), np.empty((batch, 4 * n), kind)
+    more_all = np.empty(out.shape[0] * batch, kind)
+    seen_all = np.empty((batch, ids.shape[2], p["embed"].shape[1]), kind)
+    # one for the gates and none for the candidate: a whole block is added faster than a part of each row
+    lift_all = np.zeros((batch, 4 * n), kind)
+    lift_all[:, : 3 * n] = 1
+    steps, rows = range(len(pairs)), -1
     for t in steps if forward else reversed(steps):
+        if active[t] != rows:
+            rows = active[t]
+            h, c, part, z, term, seen, lift = (x[:rows] for x in (state[:, :n], c_all, part_all, z_all, term_all, seen_all, lift_all))
+            own, more = state[:rows], more_all[: out.shape[0] * rows].reshape(-1, rows)
+            first, second, third, last = (z[:, k * n : (k + 1) * n] for k in range(4))
         np.matmul(h, recurrent, out=z)
         for table, which in zip(inputs, pairs[t]):
-            np.take(table, which, axis=0, out=term, mode="clip")
-            z += term
+            table.take(which[:rows], 0, term, "clip")
+            np.add(z, term, out=z)
         np.tanh(z, out=z)
-        gates += 1
-        c *= second
+        np.add(z, lift, out=z)
+        np.multiply(c, second, out=c)
         np.multiply(first, last, out=part)
-        c += part
-        c *= 0.5
+        np.add(c, part, out=c)
+        np.multiply(c, 0.5, out=c)
         np.tanh(c, out=part)
         np.multiply(part, third, out=h)
+        here = emit[t, :, :rows]
         if forward:
-            np.take(p["embed"], ids[t], axis=0, out=seen, mode="clip")
-            state[:, n:-1] = seen.reshape(batch, wide)
-            np.matmul(out, state.T, out=emit[t])
+            p["embed"].take(ids[t, :rows], 0, seen, "clip")
+            own[:, n:-1] = seen.reshape(rows, wide)
+            np.matmul(out, own.T, out=here)
         else:
             np.matmul(out, h.T, out=more)
-            emit[t] += more
+            np.add(here, more, out=here)
 
 
-def emissions(p: dict, ids: np.ndarray, known: dict | None = None) -> np.ndarray:
+def _active(lengths: np.ndarray, steps: int) -> list[int]:
+    """How many rows, the longest first, are as long as each step."""
+    return np.searchsorted(-lengths, -np.arange(steps)).tolist()
+
+
+def emissions(p: dict, ids: np.ndarray, known: dict | None = None, lengths: np.ndarray | None = None) -> np.ndarray:
     """[T, B, tags] of ids [B, T]; T is a multiple of the frame. It lies in memory as the search wants it: [T, tags, B].
 
-    known are the network's tables, where a caller has them.
+    known are the network's tables, where a caller has them. lengths, which must not rise, tell where the rows end: a row's
+    emissions do not depend on the others', and those behind its last frame are undefined.
     """
     batch, steps = ids.shape
     frame = _frame(p)
@@ -186,39 +201,56 @@ def emissions(p: dict, ids: np.ndarray, known: dict | None = None) -> np.ndarray
     pairs = np.ascontiguousarray((frames[:, :, ::2] * CLASSES + frames[:, :, 1::2]).swapaxes(1, 2))
     emit = np.empty((steps // frame, frame * TAGS, batch), p["out"].dtype)
     known = known or tables(p)
+    active = _active(np.full(batch, steps) if lengths is None else -(-lengths // frame) * frame, steps)[::frame]
     for d in "fb":
-        _forward(p, known, d, pairs, frames, emit)
+        _forward(p, known, d, pairs, frames, emit, active)
     return emit.reshape(steps, TAGS, batch).swapaxes(1, 2)
 
 
-def viterbi(p: dict, scores: np.ndarray) -> np.ndarray:
-    """Best tags [T, B] of scores [T, B, tags].
+def viterbi(p: dict, scores: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Best tags [T, B] of scores [T, B, tags]; lengths are those of the columns, which must not rise, and O stands behind.
 
-    The best scores are carried forward for all columns; only columns whose best path is not O throughout are traced back.
+    The best scores are carried forward for all columns, with a note of where O comes from O. Traced back are only columns
+    whose best path is not O throughout, from one span of other tags to the next.
     """
     steps, batch, n = scores.shape
-    across = np.ascontiguousarray(scores.swapaxes(1, 2))
+    across = scores.swapaxes(1, 2)
+    lengths = np.full(batch, steps) if lengths is None else lengths
     # written out for all columns, as short rows of one number each are slow to add
-    trans = np.repeat(p["trans"][:, :, None], batch, 2)
+    trans_all = np.repeat(p["trans"][:, :, None], batch, 2)
     best = np.empty((steps, n, batch), scores.dtype)
-    best[0] = across[0] + p["first"][:, None]
-    path = np.empty((n, n, batch), scores.dtype)
-    for t in range(1, steps):
-        np.add(best[t - 1][:, None, :], trans, out=path)
-        np.maximum.reduce(path, axis=0, out=best[t])
-        best[t] += across[t]
-    last = best[-1].argmax(0)
-    outside = across[:, 0].sum(0, dtype=np.float64) + p["first"][0] + (steps - 1) * float(p["trans"][0, 0])
-    # a sum of steps single-precision numbers is good to this
-    some = np.flatnonzero((last > 0) | (best[-1].max(0) > outside + 1e-3 * max(1, steps / 64)))
+    np.add(across[0], p["first"][:, None], out=best[0])
+    path_all = np.empty(n * n * batch, scores.dtype)
+    stays = np.ones((steps, batch), bool)
+    rows = -1
+    for t, now in enumerate(_active(lengths, steps)):
+        if not t:
+            continue
+        if now != rows:
+            rows = now
+            path, trans = path_all[: n * n * rows].reshape(n, n, rows), np.ascontiguousarray(trans_all[:, :, :rows])
+        here = best[t, :, :rows]
+        np.add(best[t - 1, :, None, :rows], trans, out=path)
+        np.maximum.reduce(path, axis=0, out=here)
+        np.equal(path[0, 0], here[0], out=stays[t, :rows])
+        np.add(here, across[t, :, :rows], out=here)
+    last = best[lengths - 1, :, np.arange(batch)].argmax(1)
     tags = np.zeros((steps, batch), np.int8)
-    if len(some):
-        back = p["trans"].T
-        tag = last[some]
-        tags[-1, some] = tag
-        for t in range(steps - 1, 0, -1):
-            tag = (best[t - 1][:, some].T + back[tag]).argmax(1)
-            tags[t - 1, some] = tag
+    back = np.ascontiguousarray(p["trans"].T)
+    for column in np.flatnonzero((last > 0) | ~stays.all(0)).tolist():
+        left = np.flatnonzero(~stays[:, column]).tolist()
+        own, t, tag = best[:, :, column], int(lengths[column]) - 1, int(last[column])
+        while True:
+            if tag:
+                tags[t, column] = tag
+            else:
+                while left and left[-1] > t:
+                    left.pop()
+                t = left[-1] if left else 0
+            if not t:
+                break
+            tag = int((own[t - 1] + back[tag]).argmax())
+            t -= 1
     return tags
 
 

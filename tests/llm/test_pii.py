@@ -36,6 +36,33 @@ def test_viterbi_against_plain_search():
         assert found[:, b].tolist() == want[::-1]
 
 
+def test_rows_do_not_depend_on_what_they_are_read_with(monkeypatch):
+    """A text's scores are the same alone and beside longer ones, as is the end that is read behind it."""
+    seen = []
+
+    def viterbi(p, scores, *lengths):
+        seen.append(scores.copy())
+        return pii_model.viterbi(p, scores, *lengths)
+
+    monkeypatch.setattr(pii, "viterbi", viterbi)
+    short, long = "Thanks to Harriet Lindqvist, call +49 30 1234567.", "nothing to see here, " * 40
+    alone, beside = pii.tag_texts([short])[0], pii.tag_texts([long, short, long[:300]])[1]
+    assert alone == beside
+    assert np.allclose(seen[0][: len(short), 0], seen[1][: len(short), 2], atol=1e-4)
+    # rows of falling lengths against each row by itself, best tags included
+    p, r = pii.model(), np.random.default_rng(1)
+    lengths = np.array([64, 63, 41, 40, 40, 9, 4, 1])
+    ids = np.zeros((8, 64), np.uint8)
+    for row, n in enumerate(lengths):
+        ids[row, :n] = r.integers(10, pii_model.CLASSES, n)
+    scores = pii_model.emissions(p, ids, None, lengths)
+    tags = pii_model.viterbi(p, scores, lengths)
+    for row, n in enumerate(lengths.tolist()):
+        own = pii_model.emissions(p, ids[row : row + 1, : -(-n // 4) * 4])[:n]
+        assert np.allclose(own[:, 0], scores[:n, row], atol=1e-3)
+        assert (pii_model.viterbi(p, own)[:, 0] == tags[:n, row]).all() and not tags[n:, row].any()
+
+
 def test_held_out_accuracy():
     ids, tags = pii_training.batch(pii_training.Maker(123456), 400)
     found = pii_model.viterbi(pii.model(), pii_model.emissions(pii.model(), ids)).T
