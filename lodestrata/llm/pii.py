@@ -26,7 +26,7 @@ from .pii_model import FRAME, KINDS, emissions, encode, tables, viterbi
 #: Windows share so much that each character has 40 on either side in one of them, as far as the text goes; CELLS
 #: characters are read at once, in at most BATCH windows. Behind each window stand END characters of class 0, as behind the
 #: texts of the training, whatever windows it is read with.
-WINDOW, STRIDE, BATCH, CELLS, END = 1440, 1360, 768, 400_000, 16
+WINDOW, STRIDE, BATCH, CELLS, END = 1440, 1360, 192, 300_000, 16
 
 _up = "A-ZÀ-ÖØ-ÞŁŚŠŽ"
 _low = "a-zß-öø-ÿłśšžœ"

@@ -228,7 +228,7 @@ def viterbi(p: dict, scores: np.ndarray, lengths: np.ndarray | None = None) -> n
             continue
         if now != rows:
             rows = now
-            path, trans = path_all[: n * n * rows].reshape(n, n, rows), np.ascontiguousarray(trans_all[:, :, :rows])
+            path, trans = path_all[: n * n * rows].reshape(n, n, rows), trans_all[:, :, :rows]
         here = best[t, :, :rows]
         np.add(best[t - 1, :, None, :rows], trans, out=path)
         np.maximum.reduce(path, axis=0, out=here)
